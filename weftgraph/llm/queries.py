@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, token_counts
+from . import bpe, language, mixing, quality, sharding, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -21,6 +21,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def _held_out(folds: int, fold: int) -> F.Column:
+    """Whether crc32 of the id's text falls in the held-out fold (a null id does not)."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+
+
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~_held_out(4, 2))
+    return language.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), ids=False, digests=True)
 
@@ -29,6 +47,6 @@ def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op7_bpe_round_trip, op8_bounded_ring)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring)}
 
 ORACLES: dict[str, str] = {}
