@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, sharding, token_counts
+from . import bpe, fingerprints, language, mixing, quality, sharding, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring)}
+def op9_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples)}
 
 ORACLES: dict[str, str] = {}
