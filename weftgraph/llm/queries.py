@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, quality, sharding, token_counts
+from . import bpe, fingerprints, language, mixing, mtree, quality, sharding, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,6 +55,19 @@ def op9_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples)}
+
+ORACLES: dict[str, str] = {
+    "op1_mtree_top_k": """
+        WITH x AS (
+          SELECT DISTINCT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, x.vec_id,
+                 CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), p -> p[1] * p[2])), 0) AS BIGINT) AS score
+          FROM x q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
