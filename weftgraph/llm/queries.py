@@ -60,13 +60,13 @@ QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_co
 ORACLES: dict[str, str] = {
     "op1_mtree_top_k": """
         WITH x AS (
-          SELECT DISTINCT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+          SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
           FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
         s AS (
           SELECT q.vec_id AS query_id, x.vec_id,
-                 CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), p -> p[1] * p[2])), 0) AS BIGINT) AS score
+                 CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
           FROM x q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
