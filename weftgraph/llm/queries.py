@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, mtree, quality, sharding, token_counts
+from . import bpe, fingerprints, language, mixing, mtree, quality, sharding, simhash_forest, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -55,7 +55,11 @@ def op9_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples)}
+def op10_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_forest.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples, op10_simhash_forest)}
 
 ORACLES: dict[str, str] = {
     "op1_mtree_top_k": """
