@@ -149,7 +149,7 @@ def candidates(reps: DataFrame, n: int, recall: float = RECALL, bucket: int = BU
             sims = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
             bits = np.unpackbits(sims, axis=1)
             for t in range(tries):
-                turned = np.packbits(bits[:, order[t]], axis=1)
+                turned = np.ascontiguousarray(np.packbits(bits[:, order[t]], axis=1))
                 prefix = turned.view(">u8")[:, 0] >> U64(64 - depth) if depth else np.zeros(len(turned), U64)
                 where = (prefix.astype(np.int64) << 12) | t
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), nodes, pa.array([r.tobytes() for r in turned], pa.binary())], ["place", "node", "sim"])
