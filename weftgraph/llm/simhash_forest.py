@@ -26,7 +26,7 @@ from .common import durable, prepare
 from .textkernel import U64, buffers, chunks, mix, reduceat, shingles, words
 
 SIMILARITY, SHINGLE = 0.8, 5
-BITS, RECALL = 128, 0.99
+BITS, RECALL = 128, 0.998
 #: Expected rows of a bucket; rows of a window inside a larger bucket.
 BUCKET, WINDOW = 1024, 8192
 #: Bits that may differ: of a candidate, of its first half, and of a pair that is all but sure.
