@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, mtree, quality, sharding, simhash_forest, token_counts
+from . import bpe, fingerprints, language, mixing, mtree, quality, sharding, simhash_forest, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def _held_out(folds: int, fold: int) -> F.Column:
     """Whether crc32 of the id's text falls in the held-out fold (a null id does not)."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
@@ -59,9 +63,25 @@ def op10_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_forest.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples, op10_simhash_forest)}
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op4_suffix_dedup, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples, op10_simhash_forest)}
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS pos FROM d),
+        w AS (SELECT doc_id, pos, substr(h, 2 * pos - 1, 100) AS s FROM p),
+        f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+        g AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS byte FROM w JOIN f USING (s) WHERE first_id < doc_id),
+        k AS (SELECT doc_id, count(*) AS n_removed,
+                     count(*) FILTER (WHERE prev IS NULL OR prev <> byte - 1) AS n_spans
+              FROM (SELECT doc_id, byte, lag(byte) OVER (PARTITION BY doc_id ORDER BY byte) AS prev FROM g) GROUP BY doc_id),
+        b AS (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2)) AS byte FROM d WHERE doc_id IN (SELECT doc_id FROM k)),
+        r AS (SELECT b.doc_id, string_agg(substr(h, 2 * b.byte - 1, 2), '' ORDER BY b.byte) AS kept
+              FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.byte = b.byte WHERE g.byte IS NULL GROUP BY b.doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op1_mtree_top_k": """
         WITH x AS (
           SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
