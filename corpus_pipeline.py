@@ -1,18 +1,60 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Language identification drops what has no language; near copies leave one document a
+class; repeated passages leave their first occurrence; sources are mixed to target
+weights; what remains is encoded and decoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import bpe, language, mixing, simhash_forest, suffix_dedup
+from weftgraph.llm.common import durable, prepare, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; those it rejects (null texts, texts without a letter) go."""
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return language.known_languages(docs, language.fit(docs, ~held_out))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that of the smallest doc_id."""
+    return simhash_forest.keep_first(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds."""
+    return suffix_dedup.dedup(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.apply_mix(docs)
+
+
+def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document and the text decoded from them."""
+    prepare(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from weftgraph.llm import mixing
-from weftgraph.llm.common import durable, table
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("source_mix", source_mix),
+    ("bpe_round_trip", bpe_round_trip),
+]
 #: Language prediction and encoding can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
