@@ -71,16 +71,18 @@ ORACLES: dict[str, str] = {
         p AS (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS pos FROM d),
         w AS (SELECT doc_id, pos, substr(h, 2 * pos - 1, 100) AS s FROM p),
         f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
-        g AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS byte FROM w JOIN f USING (s) WHERE first_id < doc_id),
-        k AS (SELECT doc_id, count(*) AS n_removed,
-                     count(*) FILTER (WHERE prev IS NULL OR prev <> byte - 1) AS n_spans
-              FROM (SELECT doc_id, byte, lag(byte) OVER (PARTITION BY doc_id ORDER BY byte) AS prev FROM g) GROUP BY doc_id),
-        b AS (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2)) AS byte FROM d WHERE doc_id IN (SELECT doc_id FROM k)),
-        r AS (SELECT b.doc_id, string_agg(substr(h, 2 * b.byte - 1, 2), '' ORDER BY b.byte) AS kept
-              FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.byte = b.byte WHERE g.byte IS NULL GROUP BY b.doc_id)
+        m AS (SELECT doc_id, pos FROM w JOIN f USING (s) WHERE first_id < doc_id),
+        e AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER o <= 50 THEN 0 ELSE 1 END AS fresh
+              FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        n AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM e),
+        i AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 49 AS z FROM n GROUP BY doc_id, span),
+        k AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last_z FROM i GROUP BY doc_id),
+        c AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM i),
+        r AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS kept
+              FROM c JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-               sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+               sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last_z + 1) END)) AS kept_sha256
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op1_mtree_top_k": """
         WITH x AS (
