@@ -39,3 +39,19 @@ def discard(df: DataFrame | None) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/weftgraph/" in f}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored bucketed by ``key`` in the shared folder: joins and aggregations on the key don't shuffle it again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"weftgraph_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weftgraph/{name}"
+    df.repartition(buckets, key).write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def rows_of(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` made durable, and its row count (from the written files' footers)."""
+    kept = durable(df)
+    return kept, kept.count()
