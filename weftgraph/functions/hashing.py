@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: (constant, how it joins the value, how the shifted value joins, shift: left positive, right negative)
 _ROUNDS32 = [(0x7ED55D16, "+", "+", 12), (0xC761C23C, "^", "^", -19), (0x165667B1, "+", "+", 5), (0xD3A2646C, "+", "^", 9), (0xFD7046C5, "+", "+", 3), (0xB55A4F09, "^", "^", -16)]
@@ -40,19 +41,19 @@ def step64(x) -> np.ndarray:
     return v
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash32(x: pd.Series) -> pd.Series:
     """The 32-bit mix of the low 32 bits, as a non-negative long."""
     return pd.Series(mix32(x.to_numpy()).astype(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash64(x: pd.Series) -> pd.Series:
     """The 64-bit mix, as the signed long of the same bits."""
     return pd.Series(mix64(x.to_numpy()).astype(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def next64(x: pd.Series) -> pd.Series:
     return pd.Series(step64(x.to_numpy()).astype(np.int64))
 
@@ -65,7 +66,7 @@ def hash32_mod(column, modulus: int):
 def hash64_mod(column, modulus: int):
     """The unsigned 64-bit mix modulo a number."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def of(x: pd.Series) -> pd.Series:
         return pd.Series((mix64(x.to_numpy()) % np.uint64(modulus)).astype(np.int64))
 
