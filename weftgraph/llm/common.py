@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.storage import durable, shared_dir  # noqa: F401
 
-#: Rows per Arrow batch, so that a batch of long texts stays small in a Python worker.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch, so that a batch of long texts stays small in a Python worker.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 #: Largest document id; a null id is ordered after it.
 LAST = (1 << 63) - 1
 
@@ -16,6 +16,20 @@ LAST = (1 << 63) - 1
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Give a Python worker's freed memory back to the system, so that idle workers are small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .textkernel import U64, buffers, chunks
 
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 #: Bound on the labelled texts a model is fitted on, and on the length of each.
-SAMPLE, SAMPLE_CHARS = 6000, 50_000
+SAMPLE, SAMPLE_CHARS = 5000, 50_000
 UNKNOWN = "und"
 
 _FAMILIES = {
@@ -57,7 +57,7 @@ def features(column: pa.Array) -> np.ndarray:
         for size in range(1, 5):
             gram[: len(piece) - size + 1] = (gram[: len(piece) - size + 1] * np.uint32(0x01000193)) ^ piece[size - 1 :]
             ok = left >= size
-            bucket = ((gram[ok] * np.uint32(0x9E3779B1)) >> np.uint32(19)).astype(np.int64)
+            bucket = ((gram[ok] * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
             counts += np.bincount(owner[ok] + bucket, minlength=len(counts)).astype(np.float32)
         out[first:last] = counts.reshape(-1, FEATURES)
     np.sqrt(out, out=out)
@@ -75,13 +75,15 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, sign: np.ndarray, epochs: int = 12, penalty: float = 1e-4, seed: int = 5) -> np.ndarray:
-    """Weights (bias last) of a linear SVM by averaged mini-batch subgradient steps on the hinge loss."""
+    """Weights (bias last) of a linear SVM by averaged mini-batch subgradient steps on the hinge loss; rows of sign 0 take no part."""
     rng = np.random.default_rng(seed)
     w, total, steps = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
-    balance = np.where(sign > 0, 0.5 / max(np.mean(sign > 0), 1e-9), 0.5 / max(np.mean(sign < 0), 1e-9))
+    used = np.flatnonzero(sign)
+    up = max(np.mean(sign[used] > 0), 1e-9)
+    balance = np.where(sign > 0, 0.5 / up, 0.5 / max(1 - up, 1e-9))
     for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 64):
+        order = rng.permutation(used)
+        for at in range(0, len(used), 64):
             rows = order[at : at + 64]
             margin = sign[rows] * (x[rows] @ w[:-1] + w[-1])
             pull = np.where(margin < 1, sign[rows] * balance[rows], 0.0)
@@ -108,8 +110,7 @@ class Model:
         self.pairs = {}
         for f, members in self.members.items():
             for a, b in combinations(members, 2):
-                rows = (langs == a) | (langs == b)
-                self.pairs[f, a, b] = fit_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0))
+                self.pairs[f, a, b] = fit_svm(x, np.where(langs == a, 1.0, np.where(langs == b, -1.0, 0.0)))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score): the score is the family's share of confidence times the pairwise mean."""
