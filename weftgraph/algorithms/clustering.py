@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import next64
 from weftgraph.model import Graph
+from weftgraph.operators.sequences import running
 from weftgraph.storage import discard, durable
 
 
@@ -140,40 +141,19 @@ def sweep_table(graph: Graph, scores: DataFrame) -> DataFrame:
     g = graph
     deg = g.out_degrees().where("degree > 0")
     rated = scores.where("score > 0").join(deg, "id").select("id", "degree", (F.col("score") / F.col("degree")).alias("_x"))
-    ranked = durable(_running(rated, [F.desc("_x"), F.col("id")], [], "rank"))
+    ranked = durable(running(rated, [F.desc("_x"), F.col("id")], [], "rank"))
     m = g.edges.count()
     ends = g.edges.where("src <> dst").join(ranked.select(F.col("id").alias("src"), F.col("rank").alias("i")), "src").join(ranked.select(F.col("id").alias("dst"), F.col("rank").alias("k")), "dst", "left")
     later = ends.where(F.col("k").isNull() | (F.col("k") > F.col("i")))
     events = later.select(F.col("i").alias("rank"), F.lit(1).alias("e")).union(later.where("k is not null").select(F.col("k"), F.lit(-1)))
     change = events.groupBy("rank").agg(F.sum("e").alias("_e"))
     rows = ranked.join(change, "rank", "left").select("rank", "id", "degree", F.coalesce("_e", F.lit(0)).alias("_e"))
-    summed = _running(rows, [F.col("rank")], ["degree", "_e"], "_n")
+    summed = running(rows, [F.col("rank")], ["degree", "_e"], "_n")
     least = F.least(F.col("degree_sum"), F.lit(m) - F.col("degree_sum"))
     conductance = F.when((F.col("_e_sum") == 0) | (least <= 0), F.lit(1.0)).otherwise(F.try_divide(F.col("_e_sum"), least).cast("double"))
     return summed.select("rank", "id", F.col("degree_sum").alias("vol_s"), F.col("_e_sum").alias("edges_crossing"), conductance.alias("conductance"), F.lit(m).alias("vol"))
 
 
-def _running(df: DataFrame, order: list, sums: list[str], number: str) -> DataFrame:
-    """Row numbers from 1 and running sums in ``order`` without a one-task window."""
-    spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    kept = durable(placed).withColumn("_p", F.shiftright("_at", 33))
-    per = sorted(kept.groupBy("_p").agg(F.count(F.lit(1)), *[F.sum(c) for c in sums]).collect())
-    before, totals = [], [0] * (1 + len(sums))
-    for row in per:
-        before.append((row[0], *totals))
-        totals = [a + b for a, b in zip(totals, row[1:])]
-    names = ["_n0", *[f"_b_{c}" for c in sums]]
-    shifts = spark.createDataFrame(before, "_p long, " + ", ".join(f"{n} long" for n in names))  # one row per partition
-    by = Window.partitionBy("_p").orderBy("_at")
-    run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = kept.join(F.broadcast(shifts), "_p")
-    out = out.withColumn(number, F.row_number().over(by) + F.col("_n0"))
-    for c in sums:
-        out = out.withColumn(f"{c}_sum", F.sum(c).over(run) + F.col(f"_b_{c}"))
-    return out.drop("_at", "_p", *names)
-
-
 def sweep_cut(graph: Graph, scores: DataFrame, zero_cut_is_best: bool = False) -> DataFrame:
     """One row: conductance, size_s, vol_s, vol, edges_crossing of the best prefix, the earliest at ties."""
     table = sweep_table(graph, scores)

@@ -161,28 +161,34 @@ def registers(graph: Graph, count: int = 10, seed: int = 1) -> DataFrame:
             return state.select("id", F.col("value").cast("int").alias("value"))
 
 
-def bounded(graph: Graph) -> DataFrame:
-    """Exact values by pruning with lower and upper bounds; each component runs one search per round, all at once."""
+def bounded(graph: Graph, per_round: int = 32) -> DataFrame:
+    """Exact values by pruning with lower and upper bounds.
+
+    A round searches from up to ``per_round`` open vertices of every component at once, taken
+    in turn by the largest upper and the smallest lower bound.
+    """
     g = graph.pinned()
     parts = labelled(g)
     state = durable(parts.select("id", "label", F.lit(0).alias("low"), F.lit((1 << 31) - 1).alias("high"), F.lit(False).alias("closed")))
-    turn = 0
-    while not state.where("not closed").isEmpty():
-        rank = F.struct((-F.col("high")).alias("h"), F.col("id")) if turn % 2 == 0 else F.struct(F.col("low"), F.col("id"))
-        sources = state.where("not closed").groupBy("label").agg(F.min(rank).alias("_r")).select("label", F.col("_r.id").alias("src"))
-        reached = durable(multi_bfs(g, durable(sources.select("src"))))
+    by_high = Window.partitionBy("label").orderBy(F.desc("high"), "id")
+    by_low = Window.partitionBy("label").orderBy("low", "id")
+    while True:
+        open_ = state.where("not closed")
+        ranked = open_.withColumn("_a", F.row_number().over(by_high)).withColumn("_b", F.row_number().over(by_low))
+        sources = durable(ranked.where((F.col("_a") <= per_round // 2) | (F.col("_b") <= per_round // 2)).select(F.col("id").alias("src")))
+        if sources.isEmpty():
+            return state.select("id", F.col("low").cast("int").alias("value"))
+        reached = multi_bfs(g, sources)
         ecc = reached.groupBy("src").agg(F.max("dist").alias("e"))
-        near = reached.join(ecc, "src")
-        low = F.greatest("low", F.col("e") - F.col("dist"), F.col("dist"))
-        high = F.least("high", F.col("e") + F.col("dist"))
-        joined = state.join(near, "id", "left")
-        new_low = F.when(F.col("src").isNull(), F.col("low")).when(F.col("src") == F.col("id"), F.col("e")).otherwise(low)
-        new_high = F.when(F.col("src").isNull(), F.col("high")).when(F.col("src") == F.col("id"), F.col("e")).otherwise(high)
-        following = durable(joined.select("id", "label", F.when(F.col("closed"), F.col("low")).otherwise(new_low).alias("low"), F.when(F.col("closed"), F.col("high")).otherwise(new_high).alias("high")).withColumn("closed", F.col("low") == F.col("high")))
+        own = F.col("src") == F.col("id")
+        near = reached.join(ecc, "src").groupBy("id").agg(
+            F.max(F.when(own, F.col("e")).otherwise(F.greatest("dist", F.col("e") - F.col("dist")))).alias("_l"),
+            F.min(F.when(own, F.col("e")).otherwise(F.col("e") + F.col("dist"))).alias("_h"),
+        )
+        low, high = F.greatest("low", F.coalesce("_l", F.lit(0))), F.least("high", F.coalesce("_h", F.lit((1 << 31) - 1)))
+        following = durable(state.join(near, "id", "left").select("id", "label", low.alias("low"), high.alias("high"), (F.col("closed") | (low == high)).alias("closed")))
         discard(state)
         state = following
-        turn += 1
-    return state.select("id", F.col("low").cast("int").alias("value"))
 
 
 def two_approximation(graph: Graph, seed: int = 1) -> DataFrame:
