@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, prepare, shared_dir
+from .common import LAST, prepare, release, shared_dir
 from .textkernel import U64, RangeHash, buffers
 
 LENGTH, GRAM = 50, 20
@@ -41,7 +41,9 @@ _SPAN = LENGTH - GRAM + 1
 #: Longest surroundings of a minimiser: all strings that it stands for.
 _REACH = LENGTH + _SPAN - 1
 #: Bytes of text in a stored block, positions worked on at once, and minimisers that a bucket is meant to hold.
-BLOCK_BYTES, STEP, BUCKET = 4 << 20, 1 << 20, 400_000
+BLOCK_BYTES, STEP, BUCKET = 1 << 20, 1 << 19, 100_000
+#: String positions that are put in suffix order at once.
+STRINGS = 1 << 18
 
 
 def minimisers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +101,7 @@ class Block:
         The run that stands for a group is its first one.
         """
         size = self.count + LENGTH - 1
-        ctx = np.empty(len(self.first), U64)
-        step = 1 << 18  # surroundings overlap chunk ends, so each is hashed within its own piece
-        for at in range(0, len(self.first), step):
-            f, s = self.first[at : at + step], size[at : at + step]
-            if len(f):
-                low, high = int(f.min()), int((f + s).max())
-                ctx[at : at + step] = RangeHash(self.raw[low:high]).of(f - low, f - low + s)
+        ctx = hash_ranges(self.raw, self.first, self.first + size)
         order = np.lexsort((np.arange(len(ctx)), size, ctx, self.key))
         k, c, s = self.key[order], ctx[order], size[order]
         fresh = np.ones(len(k), bool)
@@ -117,12 +113,24 @@ class Block:
         return group, stand, least
 
 
+def hash_ranges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges given in ascending order, a bounded piece of ``raw`` at a time."""
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP)))
+        low, high = int(starts[at]), int(ends[at:stop].max())
+        out[at:stop] = RangeHash(raw[low:high]).of(starts[at:stop] - low, ends[at:stop] - low)
+        at = stop
+    return out
+
+
 def earlier_matches(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray, ords: np.ndarray) -> np.ndarray:
     """For each record (``counts`` string positions from ``starts`` on) a bit mask of those with a match in a smaller document order."""
     n = len(starts)
     full = (U64(1) << counts.astype(U64)) - U64(1)
     mask = np.zeros(n, U64)
-    hashes = RangeHash(raw).of(starts, starts + counts + LENGTH - 1)
+    hashes = hash_ranges(raw, starts, starts + counts + LENGTH - 1)
     order = np.lexsort((ords, counts, hashes, keys))
     k, h, c = keys[order], hashes[order], counts[order]
     new_key = np.ones(n, bool)
@@ -139,28 +147,42 @@ def earlier_matches(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, key
     rest = order[several & ~later]
     if len(rest):
         lone = order[np.flatnonzero(new_form & several)]  # one record per form carries its strings
-        record = np.repeat(np.arange(len(lone)), counts[lone])
-        inside = np.arange(len(record)) - np.repeat(np.cumsum(counts[lone]) - counts[lone], counts[lone])
-        at = starts[lone][record] + inside
-        strings = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[at]
-        view = np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel()
-        suffix = np.argsort(view, kind="stable")  # suffix order, cut at LENGTH bytes
-        sorted_view = view[suffix]
-        begins = np.ones(len(suffix), bool)
-        begins[1:] = sorted_view[1:] != sorted_view[:-1]  # common prefixes below LENGTH end a run
-        run = np.cumsum(begins) - 1
-        own = ords[lone][record][suffix]
-        # the smallest order in a run is a previous or next smaller neighbour of all others
-        smaller = np.minimum.reduceat(own, np.flatnonzero(begins))[run] < own
-        bits = np.zeros(len(lone), U64)
-        np.bitwise_or.at(bits, record[suffix][smaller], U64(1) << inside[suffix][smaller].astype(U64))
-        form_bits = dict(zip(form[np.flatnonzero(new_form & several)].tolist(), bits.tolist()))
+        lone_form = form[np.flatnonzero(new_form & several)]
+        form_bits: dict[int, int] = {}
+        # strings of different keys differ, so keys are taken a few at a time
+        turns = np.flatnonzero(np.concatenate([[True], keys[lone][1:] != keys[lone][:-1]]))
+        total = np.concatenate([[0], np.cumsum(counts[lone])])
+        first = 0
+        while first < len(turns):
+            low = turns[first]
+            last = max(first + 1, int(np.searchsorted(total[turns], total[low] + STRINGS)))
+            high = turns[last] if last < len(turns) else len(lone)
+            part = lone[low:high]
+            bits = _suffix_test(raw, starts[part], counts[part], ords[part])
+            form_bits.update(zip(lone_form[low:high].tolist(), bits.tolist()))
+            first = last
         form_at = np.empty(n, np.int64)
         form_at[order] = form
         mask[rest] = [form_bits[f] for f in form_at[rest].tolist()]
     return mask
 
 
+def _suffix_test(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """Per record, the bits of its string positions whose longest previous factor reaches ``LENGTH``."""
+    record = np.repeat(np.arange(len(starts)), counts)
+    inside = np.arange(len(record)) - np.repeat(np.cumsum(counts) - counts, counts)
+    view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[starts[record] + inside].view(f"S{LENGTH}").ravel()
+    suffix = np.argsort(view, kind="stable")  # suffix order, cut at LENGTH bytes
+    begins = np.ones(len(suffix), bool)
+    begins[1:] = view[suffix[1:]] != view[suffix[:-1]]  # common prefixes below LENGTH end a run
+    own = ords[record[suffix]]
+    # the smallest order in a run is a previous or next smaller neighbour of all others
+    smaller = np.minimum.reduceat(own, np.flatnonzero(begins))[np.cumsum(begins) - 1] < own
+    bits = np.zeros(len(starts), U64)
+    np.bitwise_or.at(bits, record[suffix[smaller]], U64(1) << inside[suffix[smaller]].astype(U64))
+    return bits
+
+
 def _store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     """The texts in blocks, in a table bucketed by ``part`` so that joins on it don't move them; and the bytes of all texts."""
     spark = docs.sparkSession
@@ -204,18 +226,32 @@ def _store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tup
                     yield flush()
         if held:
             yield flush()
+        release()
 
     chosen = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_ord"), F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in names])
     blocks = chosen.mapInArrow(run, "part int, block long, n long, raw binary, offsets binary, ords binary, rest binary")
     name = f"weftgraph_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/weftgraph/{name}"
-    blocks.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
+    # few blocks to a row group: readers and writers hold a group in memory
+    blocks.write.option("path", path).option("compression", "zstd").option("parquet.block.row.count.limit", "8").bucketBy(buckets, "part").saveAsTable(name)
     stored = spark.table(name)
     return stored, stored.agg(F.sum("n")).first()[0] or 0
 
 
-def _open(row_raw, row_offsets, row_ords) -> Block:
-    return Block(np.frombuffer(row_raw, np.uint8), np.frombuffer(row_offsets, np.int64), np.frombuffer(row_ords, np.int64))
+def _blocks(batch: pa.RecordBatch, *more: str):
+    """The stored blocks of a batch one by one, with the values of further columns; bytes aren't copied."""
+    view = lambda name, k, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)
+    for k in range(batch.num_rows):
+        yield Block(view("raw", k, np.uint8), view("offsets", k, np.int64), view("ords", k, np.int64)), *(batch.column(c)[k] for c in more)
+        release()
+
+
+def _answers(answers, number: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, got, ids) of the answers for one block of a part."""
+    if answers.is_valid:
+        rows = answers.values
+        for k in np.flatnonzero(rows.field("block").to_numpy() == number):
+            yield rows.field("bucket")[k].as_py(), rows.field("got")[k].as_py(), rows.field("ids")[k].as_py()
 
 
 def _narrow(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -249,8 +285,8 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
 
     def send_keys(batches):
         for batch in batches:
-            for part, block, raw, offsets, ords in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "raw", "offsets", "ords"))):
-                keys = _open(raw, offsets, ords).keys()
+            for opened, part, block in _blocks(batch, "part", "block"):
+                part, block, keys = part.as_py(), block.as_py(), opened.keys()
                 rows = list(_slices((keys >> shift).astype(np.int64)))
                 five = _narrow(keys, bits)
                 yield pa.RecordBatch.from_arrays(
@@ -266,7 +302,9 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
         for p in parts:
             at = np.minimum(np.searchsorted(again, p), max(len(again) - 1, 0))
             got.append(np.packbits(again[at] == p).tobytes() if len(again) else b"")
-        return pa.table({"part": group.column("part"), "block": group.column("block"), "bucket": group.column("bucket"), "got": pa.array(got, pa.binary()), "ids": pa.array([b""] * len(got), pa.binary())}).filter(pa.array([len(g) > 0 for g in got]))
+        out = pa.table({"part": group.column("part"), "block": group.column("block"), "bucket": group.column("bucket"), "got": pa.array(got, pa.binary()), "ids": pa.array([b""] * len(got), pa.binary())})
+        release()
+        return out.filter(pa.array([len(g) > 0 for g in got]))
 
     back = "part int, block long, bucket int, got binary, ids binary"
     small = blocks.select("part", "block", "raw", "offsets", "ords")
@@ -278,15 +316,14 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
 
     def send_contexts(batches):
         for batch in batches:
-            for part, number, raw, offsets, ords, answers in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "raw", "offsets", "ords", "answers"))):
-                block = _open(raw, offsets, ords)
+            for block, part, number, answers in _blocks(batch, "part", "block", "answers"):
+                part, number = part.as_py(), number.as_py()
                 keys = block.keys()
                 shared = np.zeros(len(keys), bool)
                 place = dict(_slices((keys >> shift).astype(np.int64)))
-                for a in answers or ():
-                    if a["block"] == number:
-                        s = place[a["bucket"]]
-                        shared[s] = np.unpackbits(np.frombuffer(a["got"], np.uint8))[: s.stop - s.start].astype(bool)
+                for bucket, got, _ in _answers(answers, number):
+                    s = place[bucket]
+                    shared[s] = np.unpackbits(np.frombuffer(got, np.uint8))[: s.stop - s.start].astype(bool)
                 shared |= np.isin(keys, block.local(), assume_unique=True)
                 group, stand, least = block.groups()
                 chosen = shared[np.searchsorted(keys, block.key[stand])] if len(stand) else np.zeros(0, bool)
@@ -319,7 +356,7 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
         raw, sizes = join("text", np.uint8), join("sizes", np.uint8).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         at = starts + join("offs", np.uint8)
-        keys = RangeHash(raw).of(at, at + GRAM)
+        keys = hash_ranges(raw, at, at + GRAM)
         mask = earlier_matches(raw, starts, sizes - LENGTH + 1, keys, join("least", np.int64)).astype(np.uint32)
         lengths = [len(x) for x in group.column("sizes").to_pylist()]
         ends = np.cumsum(lengths)
@@ -329,6 +366,7 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
             got.append(m[m > 0].tobytes())
             ids.append(np.frombuffer(i, np.uint32)[m > 0].tobytes())
         out = pa.table({"part": group.column("part"), "block": group.column("block"), "bucket": group.column("bucket"), "got": pa.array(got, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        release()
         return out.filter(pa.array([len(g) > 0 for g in got]))
 
     told = small.join(per_part(known), "part", "left")
@@ -337,27 +375,25 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
 
     def remove(batches):
         for batch in batches:
-            for number, raw, offsets, ords, rest, answers in zip(*(batch.column(c).to_pylist() for c in ("block", "raw", "offsets", "ords", "rest", "answers"))):
-                block = _open(raw, offsets, ords)
+            for block, number, rest, answers in _blocks(batch, "block", "rest", "answers"):
                 group, stand, least = block.groups()
                 mask_of = np.zeros(len(stand), U64)
                 place = np.zeros(len(block.first), np.int64)
                 place[stand] = np.arange(len(stand))
-                for a in answers or ():
-                    if a["block"] == number:
-                        mask_of[place[np.frombuffer(a["ids"], np.uint32)]] = np.frombuffer(a["got"], np.uint32)
+                for _, got, ids in _answers(answers, number.as_py()):
+                    mask_of[place[np.frombuffer(ids, np.uint32)]] = np.frombuffer(got, np.uint32)
                 n = len(block.raw)
-                edge = np.zeros(n + 1, np.int64)
+                edge = np.zeros(n + 1, np.int32)
                 if len(group):
                     full = (U64(1) << block.count.astype(U64)) - U64(1)
                     mask = np.where(block.ords[block.owner] > least[group], full, mask_of[group])
                     for j in range(_SPAN):
                         at = block.first[(mask >> U64(j)) & U64(1) == 1] + j
                         if len(at):
-                            edge[: n + 1] += np.bincount(at, minlength=n + 1)[: n + 1]
-                            edge[: n + 1] -= np.bincount(at + LENGTH, minlength=n + 1)[: n + 1]
+                            edge[at] += 1  # the positions of one bit are distinct
+                            edge[at + LENGTH] -= 1
                 gone = np.cumsum(edge[:n]) > 0
-                yield emit(block, gone, pa.ipc.open_stream(rest).read_all())
+                yield emit(block, gone, pa.ipc.open_stream(rest.as_buffer()).read_all())
 
     told = blocks.join(per_part(matched), "part", "left")
     return told.select("block", "raw", "offsets", "ords", "rest", F.col("answers").cast(answer).alias("answers")).mapInArrow(remove, schema)

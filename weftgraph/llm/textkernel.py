@@ -49,7 +49,7 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK * 2)
+        size = 1 << (n - 1).bit_length()
         for k, base in enumerate((_BASE, _INV)):
             full = np.full(size, base, U64)
             full[0] = 1
