@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import mix64
 from weftgraph.model import Graph
-from weftgraph.storage import discard, durable, rows_of
+from weftgraph.storage import discard, durable, path_of, rows_of
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     """The rows of stored tables of one schema, as one scan."""
     spark = tables[0].sparkSession
-    files = sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()})
-    return spark.read.schema(tables[0].schema).parquet(*files) if files else tables[0]
+    return spark.read.schema(tables[0].schema).parquet(*[path_of(t) for t in tables])
 
 
 def bfs(graph: Graph, root: int = 0) -> DataFrame:

@@ -79,10 +79,10 @@ def c09(spark, d):
     return edgemap.vertex_map(state, small_parts(spark, d), x="x * 2")
 
 
-@query("c10_vertex_filter", f"WITH {FRONTIER} SELECT f.id FROM f JOIN part ON p_partkey = f.id WHERE p_retailprice > 1000")
+@query("c10_vertex_filter", f"WITH {FRONTIER} SELECT f.id FROM f JOIN part ON p_partkey = f.id WHERE p_retailprice > 950")
 def c10(spark, d):
     state = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
-    return edgemap.vertex_filter(small_parts(spark, d).select("id"), "p_retailprice > 1000", state)
+    return edgemap.vertex_filter(small_parts(spark, d).select("id"), "p_retailprice > 950", state)
 
 
 @query("c11_vertex_filter_payload", f"WITH {FRONTIER} SELECT id, size FROM f WHERE size + id > 500")

@@ -27,17 +27,24 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._weftgraph_path = path
+    return kept
+
+
+def path_of(df: DataFrame) -> str:
+    """The folder of a table made by ``durable``."""
+    return df._weftgraph_path
 
 
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``durable`` that no later plan reads."""
     if df is None:
         return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/weftgraph/" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
+    name = getattr(df, "_weftgraph_path", None)
+    if name:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
