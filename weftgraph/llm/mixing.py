@@ -88,9 +88,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with the columns of ``docs``."""
     plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")).agg(F.sum("copies").alias("_copies"))
+    plan = plan.groupBy(F.col("doc_id").alias("_weft_id"), F.col("source").alias("_weft_source"), F.col("text_hash").alias("_weft_hash")).agg(F.sum("copies").alias("_weft_copies"))
     keys = [F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.xxhash64(F.col(text_col))]
     # rows alike in id, source and text share their copies: one stands for them
-    one = docs.withColumns({"_k1": keys[0], "_k2": keys[1], "_k3": keys[2]}).dropDuplicates(["_k1", "_k2", "_k3"])
-    on = F.col("_k1").eqNullSafe(F.col("_id")) & F.col("_k2").eqNullSafe(F.col("_source")) & (F.col("_k3") == F.col("_hash"))
-    return one.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[one[f"`{c}`"] for c in docs.columns])
+    one = docs.withColumns({"_weft_k1": keys[0], "_weft_k2": keys[1], "_weft_k3": keys[2]}).dropDuplicates(["_weft_k1", "_weft_k2", "_weft_k3"])
+    on = F.col("_weft_k1").eqNullSafe(F.col("_weft_id")) & F.col("_weft_k2").eqNullSafe(F.col("_weft_source")) & (F.col("_weft_k3") == F.col("_weft_hash"))
+    return one.join(plan, on).withColumn("_weft_copy", F.explode(F.sequence(F.lit(1), F.col("_weft_copies").cast("int")))).select(*[one[f"`{c}`"] for c in docs.columns])

@@ -250,10 +250,10 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     id one row stays.
     """
     classes = near_duplicates(docs, similarity=similarity)
-    first = classes.where("text_key is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    order = Window.partitionBy("_id").orderBy("_key")
-    first = first.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_id").isNull() | (F.col("_n") == 1)).drop("_n")
-    keyed = docs.withColumn("_k", F.unhex(F.md5("text")))
-    stay = keyed.where("_k is not null").join(first, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_k") == F.col("_key"))).dropDuplicates(["doc_id", "_k"])
+    first = classes.where("text_key is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_weft_id"), F.col("text_key").alias("_weft_key"))
+    order = Window.partitionBy("_weft_id").orderBy("_weft_key")
+    first = first.distinct().withColumn("_weft_n", F.row_number().over(order)).where(F.col("_weft_id").isNull() | (F.col("_weft_n") == 1)).drop("_weft_n")
+    keyed = docs.withColumn("_weft_k", F.unhex(F.md5("text")))
+    stay = keyed.where("_weft_k is not null").join(first, (F.col("doc_id").eqNullSafe(F.col("_weft_id"))) & (F.col("_weft_k") == F.col("_weft_key"))).dropDuplicates(["doc_id", "_weft_k"])
     names = docs.columns
     return stay.select(*names).unionByName(docs.where("text is null"))

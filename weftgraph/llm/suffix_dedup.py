@@ -202,11 +202,11 @@ def _store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tup
             nonlocal held, size, serial
             table = pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
-            raw, offsets = buffers(table.column("_text"))
+            raw, offsets = buffers(table.column("_weft_text"))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.drop_columns(["_text", "_ord"]).schema) as out:
-                out.write_table(table.drop_columns(["_text", "_ord"]))
-            ords = table.column("_ord").to_numpy()
+            with pa.ipc.new_stream(sink, table.drop_columns(["_weft_text", "_weft_ord"]).schema) as out:
+                out.write_table(table.drop_columns(["_weft_text", "_weft_ord"]))
+            ords = table.column("_weft_ord").to_numpy()
             serial += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([serial], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([raw.tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(ords).tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
@@ -228,7 +228,7 @@ def _store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tup
             yield flush()
         release()
 
-    chosen = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_ord"), F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in names])
+    chosen = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_weft_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_weft_ord"), F.col(text_col).isNull().alias("_weft_null"), *[F.col(f"`{c}`") for c in names])
     blocks = chosen.mapInArrow(run, "part int, block long, n long, raw binary, offsets binary, ords binary, rest binary")
     name = f"weftgraph_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/weftgraph/{name}"
@@ -431,7 +431,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     names, schema = docs.columns, docs.schema
 
     def emit(block, gone, rest):
-        null = rest.column("_null").to_pylist()
+        null = rest.column("_weft_null").to_pylist()
         texts = []
         for x, y, none in zip(block.offsets[:-1], block.offsets[1:], null):
             texts.append(None if none else block.raw[x:y][~gone[x:y]].tobytes().decode("utf-8", "ignore"))
