@@ -66,6 +66,38 @@ def op10_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_source_mix, op3_token_counts, op4_suffix_dedup, op5_quality_scores, op6_language_id, op7_bpe_round_trip, op8_bounded_ring, op9_weighted_samples, op10_simhash_forest)}
 
 ORACLES: dict[str, str] = {
+    "op2_source_mix": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                     [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        l(k, level) AS (
+          SELECT 0, (SELECT CAST(sum(source_size) AS DOUBLE) / sum(w) FROM s)
+          UNION ALL
+          SELECT k + 1, (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (WHERE l.level * w >= 3 * source_size), 0))
+                                / sum(w) FILTER (WHERE l.level * w < 3 * source_size) FROM s)
+          FROM l WHERE k < 30),
+        t AS (SELECT source, source_size, least(w * (SELECT level FROM l WHERE k = 30), CAST(3 * source_size AS DOUBLE)) AS target,
+                     CAST('0x' || substr(md5(concat_ws(chr(31), '17', source)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS drawn FROM s),
+        n AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) - 1 AS i,
+                     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT n.*, k, CASE WHEN size > 0 THEN least(CAST(floor((i + 1) * rate + (drawn + k) / 16) - floor(i * rate + (drawn + k) / 16) AS BIGINT), 3) ELSE 0 END AS copies
+              FROM n, range(16) r(k)),
+        b AS (SELECT source, arg_min(k, (gap, k)) AS k FROM (SELECT source, k, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, k) GROUP BY source)
+        SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
+        FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k""",
+    "op10_simhash_forest": r"""
+        WITH RECURSIVE r AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+        w AS (SELECT id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM r),
+        s AS (SELECT DISTINCT id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' '))
+                                              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS u, b.id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM p JOIN c x ON x.id = u JOIN c y ON y.id = v WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+        cc(id, label) USING KEY (id) AS (SELECT id, id FROM r UNION
+          SELECT e.v, min(cc.label) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc k ON k.id = e.v WHERE cc.label < k.label GROUP BY e.v)
+        SELECT d.doc_id, coalesce(label, d.doc_id) AS class_id FROM documents d LEFT JOIN r ON r.text = d.text LEFT JOIN cc ON cc.id = r.id""",
     "op4_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         p AS (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS pos FROM d),
