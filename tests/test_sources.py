@@ -110,3 +110,22 @@ def test_eccentricity_lines(spark, tmp_path):
 
     write_values(spark.createDataFrame([(2, 5), (0, 3), (1, None)], "id long, value int"), str(tmp_path / "v"))
     assert [r.value for r in text.lines(spark, str(tmp_path / "v")).orderBy("n").collect()] == ["3", "-1", "5"]
+
+
+def test_compressed_hypergraph(spark, tmp_path):
+    pairs = [(0, 0), (1, 0), (1, 1), (2, 1), (5, 1)]
+    hg = Hypergraph.from_incidence(spark.createDataFrame(pairs, "v long, h long"), spark.range(6))
+    codecs.write_compressed_hyper(hg, str(tmp_path / "h"), "run")
+    back = codecs.read_compressed_hyper(spark, str(tmp_path / "h"))
+    assert rows(back.v2h, "v", "h") == pairs and rows(back.h2v, "h", "v") == sorted((h, v) for v, h in pairs) and back.nv == 6
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftgraph import cli
+
+    (tmp_path / "e").write_text("0 1\n1 2\n3 4\n")
+    got = cli.run(spark, ["components", str(tmp_path / "e"), "--format", "edges", "-s", "--rounds", "1", "--out", str(tmp_path / "out")])
+    assert rows(got, "id", "label") == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)] == rows(spark.read.parquet(str(tmp_path / "out")), "id", "label")
+    assert capsys.readouterr().out.count("Running time") == 1
+    with pytest.raises(ValueError):
+        cli.run(spark, ["bfs", str(tmp_path / "e"), "--format", "members"])

@@ -663,6 +663,13 @@ def i10(spark, d):
     return text.read_bipartite(spark, path).v2h.select("v", "h")
 
 
+@query("i13_compressed_hypergraph", f"WITH {OP45} SELECT v, h FROM i")
+def i13(spark, d):
+    path = _place(spark)
+    codecs.write_compressed_hyper(big_orders(spark, d), path, "byte")
+    return codecs.read_compressed_hyper(spark, path).v2h
+
+
 for _kind, _id in (("byte", "i14_codec_byte"), ("run", "i15_codec_run"), ("nibble", "i16_codec_nibble")):
     query(_id, f"WITH {CO45} SELECT u AS src, v AS dst FROM e")(
         lambda spark, d, kind=_kind: codecs.decompress(codecs.compress(Graph(co45(spark, d).vertices, co45(spark, d).edges.select("src", "dst"), True), kind), kind)

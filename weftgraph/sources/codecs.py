@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.model import Graph
+from weftgraph.model import Graph, Hypergraph
 
 KINDS = ("byte", "run", "nibble")
 
@@ -167,10 +167,11 @@ def decode(owner: int, data: bytes, degree: int, kind: str = "byte", weighted: b
     return members, weights
 
 
-def compress(graph: Graph, kind: str = "byte") -> DataFrame:
-    """(id, degree, code): every vertex's list, coded; self-loops and repeats are dropped, the least weight stays."""
+def compress(graph: Graph, kind: str = "byte", keep_self: bool = False) -> DataFrame:
+    """(id, degree, code): every vertex's list, coded; repeats and, unless kept, self-loops are dropped, the least weight stays."""
     rest = ["w"] if graph.weighted else []
-    edges = Graph(graph.vertices, graph.edges.where("src <> dst").select("src", "dst", *rest)).dedup().edges
+    there = graph.edges if keep_self else graph.edges.where("src <> dst")
+    edges = Graph(graph.vertices, there.select("src", "dst", *rest)).dedup().edges
     lists = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", *rest))).alias("l"))
     rows = graph.vertices.join(lists, F.col("id") == F.col("src"), "left").select("id", F.col("l.dst").alias("d"), (F.col("l.w") if rest else F.lit(None).cast("array<int>")).alias("w"))
 
@@ -219,6 +220,22 @@ def read_compressed(spark: SparkSession, path: str) -> Graph:
     return Graph(coded.select("id"), decompress(coded, kind, weighted), symmetric)
 
 
+def write_compressed_hyper(hg: Hypergraph, path: str, kind: str = "byte") -> None:
+    """Both sides' coded lists as one table; only repeats are dropped, since the two sides' ids are of different spaces."""
+    sides = [compress(side, kind, keep_self=True).select(F.lit(name).alias("side"), "id", "degree", "code") for name, side in (("v", hg.v_side()), ("h", hg.h_side()))]
+    sides[0].union(sides[1]).select("*", F.lit(kind).alias("kind"), F.lit(hg.weighted).alias("weighted"), F.lit(hg.symmetric).alias("symmetric")).write.parquet(path)
+
+
+def read_compressed_hyper(spark: SparkSession, path: str) -> Hypergraph:
+    coded = spark.read.parquet(path)
+    head = coded.select("kind", "weighted", "symmetric").first()
+    kind, weighted, symmetric = head if head else ("byte", False, False)
+    v, h = (coded.where(F.col("side") == name) for name in ("v", "h"))
+    v2h = decompress(v, kind, weighted).withColumnsRenamed({"src": "v", "dst": "h"})
+    h2v = decompress(h, kind, weighted).withColumnsRenamed({"src": "h", "dst": "v"})
+    return Hypergraph(v.select(F.col("id").alias("v")), h.select(F.col("id").alias("h")), v2h, h2v, symmetric)
+
+
 def read_compressed_file(spark: SparkSession, path: str, kind: str = "byte", symmetric: bool = True, offset_bytes: int = 4) -> Graph:
     """A compressed graph file: n, m, bytes (64 bits each), n + 1 offsets, n degrees, the codes; then, unless symmetric, an in-edge part that isn't needed.
 
