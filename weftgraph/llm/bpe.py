@@ -23,9 +23,18 @@ from .common import prepare
 from .token_counts import PIECE
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for pieces of ASCII alone, where the standard engine's classes agree.
+ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 MEMORY = 500_000
 
 
+def pretokens(piece: str) -> list[str]:
+    """The words that the pre-tokenizer cuts a piece into; letters alone, after a space or not, are one."""
+    if (piece[1:] if piece[0] == " " else piece).isalpha():
+        return [piece]
+    return (ASCII_PATTERN if piece.isascii() else PATTERN).findall(piece)
+
+
 def _byte_names() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies, reversed."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,6 +60,7 @@ class TrieBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.names = {i: str(i) for i in self.bytes}
+        self.sizes = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, result
         self.parts: dict[int, tuple[int, int]] = {}
@@ -60,7 +70,10 @@ class TrieBPE:
             self.merge[left, right] = rank, both
             self.parts.setdefault(both, (left, right))
         self.rank = {i: self.merge[p][0] for i, p in self.parts.items()}
-        self.suffixes = {t[k:] for t in vocab for k in range(len(t))}
+        self.reachable = {t: i for t, i in vocab.items() if len(t) == 1 or i in self.parts}
+        # the token of every suffix of a token, -1 where the suffix isn't one
+        self.suffixes = {t[k:]: self.reachable.get(t[k:], -1) for t in vocab for k in range(len(t))}
+        self.longer = {(self.reachable[t[:-1]], t[-1]): i for t, i in self.reachable.items() if t[:-1] in self.reachable}
         self.joined: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -97,8 +110,9 @@ class TrieBPE:
         out: dict[bytes, tuple[int, ...]] = {}
         path = b""
         last: list[int] = []  # last token of each prefix on the path
-        ids, suffixes, compatible = self.ids, self.suffixes, self.compatible
-        size = [len(self.bytes[i]) if i in self.bytes else 0 for i in range(max(self.bytes) + 1)]
+        suffix_token, joined, longer = self.suffixes.get, self.joined.get, self.longer.get
+        compatible = self.compatible
+        size = self.sizes
         for word in sorted(words):
             common = 0
             for x, y in zip(path, word):
@@ -107,16 +121,17 @@ class TrieBPE:
                 common += 1
             del last[common:]
             for end in range(common + 1, len(word) + 1):
-                start, found = end - 1, -1
-                while start >= 0 and (tail := word[start:end]) in suffixes:
-                    token = ids.get(tail)
-                    if token is not None and (token in self.parts or len(tail) == 1) and (start == 0 or compatible(last[start - 1], token)):
-                        found = token
-                        if start == 0:
-                            break
-                    start -= 1
-                    if found >= 0:
+                # most often the last token grows by a byte; otherwise suffixes are tried from the shortest
+                if end > 1 and (found := longer((last[-1], word[end - 1]))) is not None:
+                    start = end - size[found]
+                    if start == 0 or (fits if (fits := joined(key := (last[start - 1], found))) is not None else compatible(*key)):
+                        last.append(found)
+                        continue
+                start = end - 1
+                while (found := suffix_token(word[start:end])) is not None:
+                    if found >= 0 and (start == 0 or (fits if (fits := joined(key := (last[start - 1], found))) is not None else compatible(*key))):
                         break
+                    start -= 1
                 last.append(found)
             path = word
             tokens, at = [], len(word)
@@ -129,14 +144,11 @@ class TrieBPE:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that weren't met before."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        new = [p for p in pieces if p not in self.words]
-        cut = [PATTERN.findall(p) for p in new]
-        distinct = list({w for ws in cut for w in ws})
-        known = dict(zip(distinct, self.encode_words([w.encode() for w in distinct])))
-        for piece, ws in zip(new, cut):
-            self.words[piece] = known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws)))
+        new = list(pieces)
+        cut = list(map(pretokens, new))
+        distinct = list(set(chain.from_iterable(cut)))
+        get = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]))).__getitem__
+        self.words.update((piece, get(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(get, ws)))) for piece, ws in zip(new, cut))
 
     def plain(self, text: str) -> list[str]:
         return PIECE.findall(text)
@@ -158,10 +170,10 @@ class TrieBPE:
             for x in part:
                 if not isinstance(x, int):
                     need.update(x)
-        known = {p: self.words[p] for p in need if p in self.words}
-        self.learn(need - known.keys())
-        known |= {p: self.words[p] for p in need - known.keys()}
-        get = known.__getitem__
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        self.learn(need.difference(self.words))
+        get = self.words.__getitem__
         out = []
         for part in parts:
             ids: list[int] = []
