@@ -431,6 +431,23 @@ def test_one_document_of_a_class_stays(spark, odd):
     assert simhash_forest.keep_first(odd.limit(0)).count() == 0 and simhash_forest.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_all_pairs_of_a_dense_bucket_are_met(spark):
+    rng = random.Random(12)
+    base = [f"{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    signed = simhash_forest.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").selectExpr("doc_id node", "sim", "doc_id % 7 label")
+    sims = [np.frombuffer(r.sim, ">u8") for r in signed.orderBy("node").collect()]
+    far = lambda a, b, k: int(np.bitwise_count(sims[a][k] ^ sims[b][k]))
+    want = {(a, b) for a in range(300) for b in range(a) if a % 7 != b % 7 and far(a, b, 0) <= simhash_forest.NEAR_HALF and far(a, b, 0) + far(a, b, 1) <= simhash_forest.NEAR}
+    assert len(want) > 30_000
+    for window in (16, 64):  # several tasks a bucket; several blocks a task
+        assert set(rows_of(simhash_forest.candidates(signed, 300, window=window), "a", "b")) == want
+
+
 # ---- the pipeline
 
 

@@ -4,10 +4,11 @@ Each distinct text gets a 128-bit SimHash of its five-word shingles.  Several tr
 the fingerprints with their bits permuted.  In each trie, a prefix depth is used that
 leaves buckets of bounded expected size, and as many tries are built as that depth needs
 for the target recall: a denser corpus climbs to longer prefixes and more tries, a sparse
-one to shorter prefixes and fewer.  Rows of a bucket are met in trie order, so a bucket
-that is still too large is compared within windows of its deepest shared prefixes.
-Candidates are verified by the exact Jaccard similarity of their shingle sets, and the
-verified links are closed to classes.
+one to shorter prefixes and fewer.  All rows of a bucket are compared: a large bucket is
+taken block by block, and a very large one by several tasks.  Candidates are verified by
+the exact Jaccard similarity of their shingle sets: first the nearest partner of each
+text, then every candidate pair that the verified links leave apart.  All verified links
+are closed to classes.
 """
 
 from __future__ import annotations
@@ -17,20 +18,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.stars import star_components
 
-from .common import durable, prepare
+from .common import LAST, durable, prepare
 from .textkernel import U64, buffers, chunks, mix, reduceat, shingles, words
 
 SIMILARITY, SHINGLE = 0.8, 5
 BITS, RECALL = 128, 0.998
-#: Expected rows of a bucket; rows of a window inside a larger bucket.
-BUCKET, WINDOW = 1024, 8192
-#: Bits that may differ: of a candidate, of its first half, and of a pair that is all but sure.
-NEAR, NEAR_HALF, SURE = 33, 22, 9
+#: Expected rows of a bucket; rows of a block inside a larger bucket; blocks that one task compares with the whole bucket.
+BUCKET, WINDOW, SHARE = 1024, 8192, 8
+#: Bits that may differ: of a candidate, and of its first half.
+NEAR, NEAR_HALF = 33, 22
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], U64)
 
@@ -96,96 +97,149 @@ def permutations(tries: int) -> np.ndarray:
     return np.stack([np.random.default_rng(1000 + t).permutation(BITS) for t in range(tries)])
 
 
-def near_rows(sims: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j < i, distance) of rows ``first``..``last`` with all earlier rows, within NEAR bits."""
-    gap = np.bitwise_count(sims[first:last, None, 0] ^ sims[None, :last, 0])
+def near_rows(sims: np.ndarray, first: int, last: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j < i, distance) of rows ``first``..``last`` with rows ``low``..``high``, within NEAR bits; ordered by i, then j."""
+    gap = np.bitwise_count(sims[first:last, None, 0] ^ sims[None, low:high, 0])
     i, j = np.nonzero(gap <= NEAR_HALF)
-    keep = j < i + first
+    keep = j + low < i + first
     i, j = i[keep], j[keep]
-    far = gap[i, j].astype(np.int64) + np.bitwise_count(sims[i + first, 1] ^ sims[j, 1])
+    far = gap[i, j].astype(np.int64) + np.bitwise_count(sims[i + first, 1] ^ sims[j + low, 1])
     keep = far <= NEAR
-    return i[keep] + first, j[keep], far[keep]
+    return i[keep] + first, j[keep] + low, far[keep]
 
 
-def bucket_pairs(nodes: np.ndarray, sims: np.ndarray, seen: int = 0):
-    """Candidate pairs of a bucket: arrays (a, b, distance) with a > b; pairs of rows before ``seen`` are left out.
+def bucket_pairs(sims: np.ndarray, labels: np.ndarray | None, part: int = 0, parts: int = 1, window: int = WINDOW):
+    """Arrays (i, j < i, distance) of a bucket's candidate pairs; every row is compared with every earlier one, block by block.
 
-    All but sure pairs are thinned to one per row, its nearest partner; every other
-    pair is given unless its ends are already joined by such pairs.
+    Without labels: the nearest earlier partner of each row, the first one of ties.  With
+    labels: every pair of unlike labels.  Only the ``part``-th of ``parts`` shares of the rows i is done.
     """
-    m, step = len(nodes), 128
-    parent, link = np.arange(m), []
-    for at in range(0, m, step):
-        i, j, far = near_rows(sims, at, min(at + step, m))
-        sure = far <= SURE
-        i, j, far = i[sure], j[sure], far[sure]
-        order = np.lexsort((j, far, i))
-        i, j, far = i[order], j[order], far[order]
-        best = np.ones(len(i), bool)
-        best[1:] = i[1:] != i[:-1]
-        parent[i[best]] = j[best]
-        link.append((i[best], j[best], far[best]))
-    while (up := parent[parent]).tolist() != parent.tolist() if m < 64 else not np.array_equal(up := parent[parent], parent):
-        parent = up
-    out = link
-    for at in range(0, m, step):
-        i, j, far = near_rows(sims, at, min(at + step, m))
-        apart = parent[i] != parent[j]
-        out.append((i[apart], j[apart], far[apart]))
-    i, j, far = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in range(3))
-    new = i >= seen
-    a, b = nodes[i[new]], nodes[j[new]]
-    return np.maximum(a, b), np.minimum(a, b), far[new]
+    m, step = len(sims), 128
+    for at in range(step * part, m, step * parts):
+        end = min(at + step, m)
+        best = np.full(end - at, NEAR * m + m)
+        for low in range(0, end, window):
+            i, j, far = near_rows(sims, at, end, low, min(low + window, end))
+            if labels is not None:
+                apart = labels[i] != labels[j]
+                if apart.any():
+                    yield i[apart], j[apart], far[apart]
+            elif len(i):
+                starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                best[i[starts] - at] = np.minimum(best[i[starts] - at], np.minimum.reduceat(far * m + j, starts))
+        if labels is None and len(i := np.flatnonzero(best < NEAR * m + m)):
+            yield i + at, best[i] % m, best[i] // m
+
+
+def places(sims: np.ndarray, order: np.ndarray, depth: int):
+    """The bucket of each fingerprint (rows of bytes), trie by trie."""
+    bits = np.unpackbits(sims, axis=1)
+    weights = np.int64(1) << np.arange(depth, dtype=np.int64)
+    for t in range(len(order)):
+        yield ((bits[:, order[t, :depth]].astype(np.int64) @ weights) << 12) | t
+
+
+def dense_places(reps: DataFrame, order: np.ndarray, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of more than ``most`` rows, in order, and their sizes; there are at most rows x tries / ``most`` of them."""
+
+    def count(batches):
+        def flush(held):
+            where, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(n, pa.int64())], ["place", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for where in places(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8), order, depth):
+                held.append(where)
+                size += len(where)
+            if size > 1 << 20:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    counts = reps.select("sim").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    rows = sorted((r["place"], r["n"]) for r in counts.collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def candidates(reps: DataFrame, n: int, recall: float = RECALL, bucket: int = BUCKET, window: int = WINDOW) -> DataFrame:
-    """(a, b, far) candidate pairs a > b from rows (node, sim)."""
+    """(a, b, far) candidate pairs a > b from rows (node, sim), or from rows (node, sim, label).
+
+    Without a label: the nearest partner of smaller node of each row.  With one: every pair
+    within NEAR bits whose labels differ.  All pairs of a bucket are compared, whatever its
+    size; one of more than SHARE blocks of ``window`` rows is dealt to several tasks.
+    """
     depth, tries = forest_shape(n, recall=recall, bucket=bucket)
     order = permutations(tries)
+    labelled = "label" in reps.columns
+    most = SHARE * window
+    dense, sizes = dense_places(reps, order, depth, most) if n > most else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    shipped = reps.sparkSession.sparkContext.broadcast((dense, -(-sizes // most)))
+    names = ["place", "share", "node", "s0", "s1", "label"][: 5 + labelled]
 
     def plant(batches):
+        dense, parts = shipped.value
         for batch in batches:
-            nodes = batch.column(0)
+            if not batch.num_rows:
+                continue
             sims = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            bits = np.unpackbits(sims, axis=1)
-            for t in range(tries):
-                turned = np.ascontiguousarray(np.packbits(bits[:, order[t]], axis=1))
-                prefix = turned.view(">u8")[:, 0] >> U64(64 - depth) if depth else np.zeros(len(turned), U64)
-                where = (prefix.astype(np.int64) << 12) | t
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), nodes, pa.array([r.tobytes() for r in turned], pa.binary())], ["place", "node", "sim"])
+            halves = np.ascontiguousarray(sims).view(">u8").astype(U64).view(np.int64)
+            columns = [batch.column(0).to_numpy(), halves[:, 0], halves[:, 1], *(c.to_numpy() for c in batch.columns[2:])]
+            for where in places(sims, order, depth):
+                share, rows = np.full(len(where), 1, np.int64), slice(None)
+                if len(dense):
+                    at = np.minimum(np.searchsorted(dense, where), len(dense) - 1)
+                    times = np.where(dense[at] == where, parts[at], 1)
+                    rows = np.repeat(np.arange(len(where)), times)
+                    share = ((np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)) << 31) | times[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (where[rows], share, *(c[rows] for c in columns))], names)
+
+    def buckets(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            place, share = columns[:2]
+            if held and (held[-1][0][-1] != place[0] or held[-1][1][-1] != share[0]):
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]) | (share[1:] != share[:-1])) + 1).tolist(), len(place)]
+            for first, last in zip(cuts, cuts[1:]):
+                held.append([c[first:last] for c in columns])
+                if last < len(place):
+                    yield [np.concatenate(c) for c in zip(*held)]
+                    held = []
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
 
     def meet(batches):
-        def flush(nodes, sims, seen):
-            rows = np.frombuffer(b"".join(sims), ">u8").reshape(-1, 2).astype(U64)
-            a, b, far = bucket_pairs(np.array(nodes, np.int64), rows, seen)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.int64())], ["a", "b", "far"])
-
-        here, nodes, sims, seen = None, [], [], 0
-        for batch in batches:
-            for place, node, sim in zip(*(c.to_pylist() for c in batch.columns)):
-                if place != here:
-                    if len(nodes) > 1:
-                        yield flush(nodes, sims, seen)
-                    here, nodes, sims, seen = place, [], [], 0
-                elif len(nodes) >= window:  # keep the last half: the next rows share the longest prefixes with it
-                    yield flush(nodes, sims, seen)
-                    nodes, sims = nodes[window // 2 :], sims[window // 2 :]
-                    seen = len(nodes)
-                nodes.append(node)
-                sims.append(sim)
-        if len(nodes) > 1:
-            yield flush(nodes, sims, seen)
-
-    planted = reps.select("node", "sim").mapInArrow(plant, "place long, node long, sim binary")
-    met = planted.repartition(F.col("place")).sortWithinPartitions("place", "sim").mapInArrow(meet, "a long, b long, far long")
-    return met.groupBy("a", "b").agg(F.min("far").alias("far"))
+        held, size = [], 0
+        for _, share, nodes, s0, s1, *label in buckets(batches):
+            sims = np.stack([s0, s1], axis=1).view(U64)
+            part, parts = int(share[0]) >> 31, int(share[0]) & ((1 << 31) - 1)
+            for i, j, far in bucket_pairs(sims, label[0] if labelled else None, part, parts, window):
+                held.append((nodes[i], nodes[j], far))
+                size += len(i)
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["a", "b", "far"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], ["a", "b", "far"])
+
+    planted = reps.select("node", "sim", *["label"] * labelled).mapInArrow(plant, ", ".join(f"{c} long" for c in names))
+    met = planted.repartition("place", "share").sortWithinPartitions("place", "share", "node").mapInArrow(meet, "a long, b long, far long")
+    if labelled:
+        return met.groupBy("a", "b").agg(F.min("far").alias("far"))
+    return met.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b", "best.far")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, keys: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys.select("node", "key"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("key"))
-    texts = durable(texts.join(wanted, ["node", "key"]).dropDuplicates(["node"]).select("node", "text"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys.select("node", "doc_id", "key"), "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("key"))
+    texts = durable(texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["node"]).select("node", "text"))
 
     def run(batches):
         def sets(column):
@@ -206,35 +260,38 @@ def verify(docs: DataFrame, pairs: DataFrame, keys: DataFrame, id_col: str, text
     return both.mapInArrow(run, "a long, b long")
 
 
+def text_classes(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, similarity: float, recall: float, bucket: int) -> DataFrame:
+    """(key, doc_id, label) for each distinct text: its smallest id and the number of its class."""
+    reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sim").alias("sim"), F.first("n").alias("n"))
+    # a text is known by a number of its own, since texts may share an id; the numbers are written once
+    reps = durable(reps.withColumn("node", F.monotonically_increasing_id()))
+    taken = reps.where("doc_id is not null and n > 0")
+    n = taken.count()
+    # first the nearest partner of each text; then every pair that the verified links leave apart
+    best = durable(candidates(taken, n, recall, bucket))
+    links = durable(verify(docs, best, taken, id_col, text_col, similarity))
+    joined = durable(star_components(links, "a", "b"))
+    labelled = taken.select("node", "sim").join(joined.select(F.col("id").alias("node"), "label"), "node", "left").select("node", "sim", F.coalesce("label", "node").alias("label"))
+    rest = candidates(labelled, n, recall, bucket).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    more = durable(verify(docs, durable(rest), taken, id_col, text_col, similarity))
+    classes = star_components(links.union(more), "a", "b")
+    return reps.join(classes, F.col("node") == F.col("id"), "left").select("key", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, class_id, text_key) for each row: class_id is the smallest doc_id of its class.
 
     Equal texts share a class; so do texts joined by a chain of links of at least the given
     similarity.  Texts without words are linked to equal texts only.  A null text is alone
     in its class.  Rows with a null id join the class of equal texts and have a null
-    class where no row of it has an id.  Repeated rows stay.  An empty table gives an empty result.
+    class where no row of it has an id.  Repeated rows stay; unlike texts under one id are
+    searched each for itself.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     signed = durable(signatures(docs, id_col, text_col))
-    reps = durable(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sim").alias("sim"), F.first("n").alias("n")))
-    # one text per id takes part: an id that is repeated with other texts keeps each text's own node only once
-    reps_ok = reps.where("node is not null and n > 0").dropDuplicates(["node"])
-    n = reps_ok.count()
-    pairs = durable(candidates(reps_ok, n, recall, bucket))
-    # first the nearest sure partner of each text; then every pair that these links leave apart
-    best = pairs.where(F.col("far") <= SURE).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-    links = durable(verify(docs, best, reps_ok, id_col, text_col, similarity))
-    joined = durable(star_components(links, "a", "b"))
-    rest = (
-        pairs.join(joined.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(joined.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        .select("a", "b")
-        .join(best.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = durable(verify(docs, durable(rest), reps_ok, id_col, text_col, similarity))
-    classes = star_components(links.union(more), "a", "b")
-    named = reps.select("key", "node").join(classes, F.col("node") == F.col("id"), "left").select("key", F.coalesce("label", "node").alias("class_id"))
+    texts = durable(text_classes(docs, signed, id_col, text_col, similarity, recall, bucket))
+    ids = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = texts.join(ids, "label").select("key", "class_id")
     # equal texts may be a third of all rows: the join on the text's key is salted
     salts = 8
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -246,13 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near copies: one row of each class stays, of its smallest doc_id.
 
-    Rows of equal id and text are one document.  Null texts are kept; of texts without any
-    id one row stays.
+    Rows of equal id and text are one document; unlike texts under one id are documents of
+    their own.  Null texts are kept; of texts without any id one row stays.
     """
-    classes = near_duplicates(docs, similarity=similarity)
-    first = classes.where("text_key is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_weft_id"), F.col("text_key").alias("_weft_key"))
-    order = Window.partitionBy("_weft_id").orderBy("_weft_key")
-    first = first.distinct().withColumn("_weft_n", F.row_number().over(order)).where(F.col("_weft_id").isNull() | (F.col("_weft_n") == 1)).drop("_weft_n")
+    prepare(docs.sparkSession)
+    signed = durable(signatures(docs, "doc_id", "text"))
+    texts = text_classes(docs, signed, "doc_id", "text", similarity, RECALL, BUCKET)
+    first = texts.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "doc_id", "key")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_weft_id"), F.col("first.key").alias("_weft_key"))
     keyed = docs.withColumn("_weft_k", F.unhex(F.md5("text")))
     stay = keyed.where("_weft_k is not null").join(first, (F.col("doc_id").eqNullSafe(F.col("_weft_id"))) & (F.col("_weft_k") == F.col("_weft_key"))).dropDuplicates(["doc_id", "_weft_k"])
     names = docs.columns
