@@ -448,6 +448,37 @@ def test_all_pairs_of_a_dense_bucket_are_met(spark):
         assert set(rows_of(simhash_forest.candidates(signed, 300, window=window), "a", "b")) == want
 
 
+def test_unverified_links_drop_no_true_ones(spark):
+    """Template t, true sure copy v, and w: nearest to v by chance but like t only."""
+    rng = random.Random(13)
+    far = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+    like = lambda a, b: len(a & b) / len(a | b)
+    rows = []
+    for _ in range(12):
+        base = [f"{rng.randrange(10**6)}" for _ in range(200)]
+        family = [base]
+        for k in range(900):
+            copy = list(base)
+            for at in rng.sample(range(5, 195, 6), 3):
+                copy[at] = f"v{k}_{at}"
+            family.append(copy)
+        texts = [" ".join(w) for w in family]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        sims, _ = simhash_forest.simhash(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        sets = [frozenset(tuple(w[k : k + 5]) for k in range(196)) for w in family]
+        found = [
+            (v, w)
+            for v in range(1, 901) if far(sims[0], sims[v]) <= 9
+            for w in range(1, 901) if w != v and 9 < far(sims[0], sims[w]) <= 30 and far(sims[v], sims[w]) <= 9 and like(sets[v], sets[w]) < 0.8 <= like(sets[0], sets[w])
+        ]
+        if found:
+            at = len(rows)
+            rows += [(at + k, texts[i]) for k, i in enumerate((0, *found[0]))]
+    assert len(rows) >= 12
+    got = rows_of(simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id")
+    assert got == sorted(((i, i - i % 3) for i, _ in rows), key=repr)
+
+
 # ---- the pipeline
 
 
