@@ -479,6 +479,14 @@ def test_unverified_links_drop_no_true_ones(spark):
     assert got == sorted(((i, i - i % 3) for i, _ in rows), key=repr)
 
 
+def test_unlike_texts_under_one_id(spark):
+    rng = random.Random(14)
+    one, two = (" ".join(f"{rng.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(1, one), (1, two), (2, one + " x"), (3, two + " y")], "doc_id long, text string")
+    assert rows_of(simhash_forest.near_duplicates(df), "doc_id", "class_id") == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    assert rows_of(simhash_forest.keep_first(df), "text") == sorted([(one,), (two,)])
+
+
 # ---- the pipeline
 
 
