@@ -257,6 +257,16 @@ def test_language_on_held_out_rows(spark):
     assert (rows.lang_pred == rows.lang).mean() > 0.97 and rows.score.between(0, 1).all()
 
 
+def test_every_language_is_in_the_sample(spark):
+    rows = [(i, f"the cat {i} sat on the mat", "en") for i in range(3000)] + [(i, f"die katze {i} sitzt hier", "de") for i in range(3000, 3500)] + [(4000, "kissa istuu tuolilla", "fi"), (4001, "katten sitter", "sv")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language.sample_languages(df, F.lit(True), 60).groupBy("lang").count()
+    assert rows_of(drawn, "lang", "count") == [("de", 29), ("en", 29), ("fi", 1), ("sv", 1)]
+    model = language.fit(df, F.lit(True), most=60)
+    assert sorted(v for m in model.members.values() for v in m) == ["de", "en", "fi", "sv"]
+    assert (language.FEATURES, language.SAMPLE, model.top.shape[1]) == (8192, 6000, 8193)
+
+
 def test_language_edge_cases(spark, odd):
     model = language.fit(odd, F.lit(True))
     got = {(r.doc_id, r.lang_pred) for r in language.identify(odd, model).collect()}

@@ -13,15 +13,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
 from .textkernel import U64, buffers, chunks
 
-FEATURES = 1 << 12
+FEATURES = 1 << 13
 #: Bound on the labelled texts a model is fitted on, and on the length of each.
-SAMPLE, SAMPLE_CHARS = 5000, 50_000
+SAMPLE, SAMPLE_CHARS = 6000, 50_000
 UNKNOWN = "und"
 
 _FAMILIES = {
@@ -57,7 +57,7 @@ def features(column: pa.Array) -> np.ndarray:
         for size in range(1, 5):
             gram[: len(piece) - size + 1] = (gram[: len(piece) - size + 1] * np.uint32(0x01000193)) ^ piece[size - 1 :]
             ok = left >= size
-            bucket = ((gram[ok] * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
+            bucket = ((gram[ok] * np.uint32(0x9E3779B1)) >> np.uint32(33 - FEATURES.bit_length())).astype(np.int64)
             counts += np.bincount(owner[ok] + bucket, minlength=len(counts)).astype(np.float32)
         out[first:last] = counts.reshape(-1, FEATURES)
     np.sqrt(out, out=out)
@@ -85,11 +85,12 @@ def fit_svm(x: np.ndarray, sign: np.ndarray, epochs: int = 12, penalty: float =
         order = rng.permutation(used)
         for at in range(0, len(used), 64):
             rows = order[at : at + 64]
-            margin = sign[rows] * (x[rows] @ w[:-1] + w[-1])
+            part = x[rows].astype(float)
+            margin = sign[rows] * (part @ w[:-1] + w[-1])
             pull = np.where(margin < 1, sign[rows] * balance[rows], 0.0)
             rate = 4.0 / (1 + 0.02 * steps)
             w[:-1] *= 1 - rate * penalty
-            w[:-1] += rate * (pull @ x[rows]) / len(rows)
+            w[:-1] += rate * (pull @ part) / len(rows)
             w[-1] += rate * pull.mean()
             steps += 1
             if epoch:
@@ -150,15 +151,37 @@ def sample(docs: DataFrame, keep: F.Column, most: int, seed: int = 11) -> DataFr
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share)
 
 
+def sample_languages(docs: DataFrame, keep: F.Column, most: int, seed: int = 11) -> DataFrame:
+    """At most ``most`` of the rows that pass ``keep`` (one a language at least), the same in a rerun.
+
+    Languages of few rows give all of them and the others the same number each, so that no
+    language is missing.  Only a count per language reaches the driver.
+    """
+    rows = docs.where(keep).withColumn("_draw", F.xxhash64("doc_id", "text", F.lit(seed)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, level = most, 0
+    for k, n in enumerate(sorted(counts.values())):
+        level = max(1, left // (len(counts) - k))
+        left -= min(n, level)
+    # twice the rows that are wanted, and some more, come to the ranking
+    shares = [(lang, int(min(1.0, (2 * level + 64) / n) * (1 << 30))) for lang, n in counts.items()]
+    drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share long")), "lang").where(F.pmod("_draw", F.lit(1 << 30)) < F.col("_share"))
+    order = Window.partitionBy("lang").orderBy("_draw", "doc_id", "text")
+    return drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= level).drop("_draw", "_share", "_rank")
+
+
 def fit(docs: DataFrame, trained: F.Column, most: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of the rows of (doc_id, text, lang) that ``trained`` admits.
+    """Fit on a bounded sample, drawn per language, of the rows of (doc_id, text, lang) that ``trained`` admits.
 
     Texts without words, null languages and texts beyond ``SAMPLE_CHARS`` (a bound of the
     fit alone) are left out.
     """
     keep = trained & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("\\S")
-    rows = sample(docs, keep, most).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
-    return Model(features(pa.array(rows["text"], pa.string())) if len(rows) else np.zeros((0, FEATURES), np.float32), list(rows["lang"]))
+    rows = sample_languages(docs.select("doc_id", "text", "lang"), keep, most).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
+    x = np.zeros((len(rows), FEATURES), np.float16)  # half the driver's memory; widened batch by batch
+    for at in range(0, len(rows), 256):
+        x[at : at + 256] = features(pa.array(rows["text"].iloc[at : at + 256], pa.string()))
+    return Model(x, list(rows["lang"]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
