@@ -330,3 +330,16 @@ def test_generators(spark):
     weighted = gen.add_weights(grid)
     there = {(r.src, r.dst): r.w for r in weighted.edges.collect()}
     assert all(there[b, a] == w and 1 <= w <= 4 for (a, b), w in there.items())
+
+
+def test_queries_over_whole_tables(spark):
+    from weftgraph.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    whole = lines.select("l_partkey", "l_orderkey").distinct().count()
+    assert queries.QUERIES["u14_mesh_op"](spark, d).count() == whole
+    assert queries.QUERIES["u10_add_hyper_weights_op"](spark, d).count() == whole
+    hyper = queries.QUERIES["g04_hyper_cc_op"](spark, d)
+    assert hyper.where("kind = 'h'").count() == lines.select("l_orderkey").distinct().count()
+    assert queries.QUERIES["a11_pagerank_ps_10it"](spark, d).count() == sum(spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("part", "supplier"))

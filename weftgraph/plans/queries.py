@@ -15,7 +15,7 @@ from weftgraph.operators import buckets, edgemap, hyper, sequences
 from weftgraph.sources import codecs, text
 from weftgraph.storage import durable, shared_dir
 
-from .tables import CO45, NN, OP, OP45, big_orders, co45, load, nations, orders_parts, parts_suppliers
+from .tables import CO45, NN, OP, OP45, PS, big_orders, co45, load, nations, orders_parts, parts_suppliers, supplies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -422,8 +422,8 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 @query("a11_pagerank_co45_10it", _pagerank_sql(10))
-def a11(spark, d):
-    g = co45(spark, d)
+def a11(spark, d, graph=co45):
+    g = graph(spark, d)
     return ranking.pagerank(g, max_iters=10).select("id", F.round(F.col("score") * F.lit(float(g.n)), 6).alias("score"))
 
 
@@ -487,18 +487,18 @@ _HBFS = f"""WITH RECURSIVE {OP45}, m AS (SELECT max(p_partkey) + 1 AS base FROM
  SELECT e.v, min(b.lvl) + 1 FROM b JOIN e ON e.u = b.id LEFT JOIN recurring.b r ON r.id = e.v WHERE r.id IS NULL GROUP BY e.v)
  SELECT CASE WHEN n.id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN n.id < base THEN n.id ELSE n.id - base END AS id, lvl AS level FROM n CROSS JOIN m LEFT JOIN b ON b.id = n.id""",
 )
-def g01(spark, d):
-    return hypergraphs.hyper_bfs(big_orders(spark, d), 0).select("kind", "id", "level")
+def g01(spark, d, orders=big_orders):
+    return hypergraphs.hyper_bfs(orders(spark, d), 0).select("kind", "id", "level")
 
 
 @query("g02_hyper_bpath_op45")
-def g02(spark, d):
-    return hypergraphs.hyper_bpath(big_orders(spark, d), 0)
+def g02(spark, d, orders=big_orders):
+    return hypergraphs.hyper_bpath(orders(spark, d), 0)
 
 
 @query("g03_hyper_dependency_op45")
-def g03(spark, d):
-    return hypergraphs.hyper_dependency(big_orders(spark, d), 0).select("kind", "id", "sigma", F.round("score", 6).alias("score"))
+def g03(spark, d, orders=big_orders):
+    return hypergraphs.hyper_dependency(orders(spark, d), 0).select("kind", "id", "sigma", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -507,8 +507,8 @@ def g03(spark, d):
  SELECT e.v, min(cc.label) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.v WHERE cc.label < r.label GROUP BY e.v)
  SELECT CASE WHEN id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN id < base THEN id ELSE id - base END AS id, CASE WHEN label < base THEN label END AS label FROM cc CROSS JOIN m""",
 )
-def g04(spark, d):
-    return hypergraphs.hyper_components(big_orders(spark, d))
+def g04(spark, d, orders=big_orders):
+    return hypergraphs.hyper_components(orders(spark, d))
 
 
 @query(
@@ -517,8 +517,8 @@ def g04(spark, d):
  SELECT e.v, min(b.lvl) + 1 FROM b JOIN e ON e.u = b.id LEFT JOIN recurring.b r ON r.id = e.v WHERE r.id IS NULL GROUP BY e.v)
  SELECT CASE WHEN n.id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN n.id < base THEN n.id ELSE n.id - base END AS id, CAST(lvl AS BIGINT) AS dist, false AS negative_cycle FROM n CROSS JOIN m LEFT JOIN b ON b.id = n.id""",
 )
-def g05(spark, d):
-    return hypergraphs.hyper_shortest_paths(big_orders(spark, d), 0)
+def g05(spark, d, orders=big_orders):
+    return hypergraphs.hyper_shortest_paths(orders(spark, d), 0)
 
 
 @query(
@@ -535,13 +535,13 @@ def g06(spark, d):
 
 
 @query("g07_hyper_independent_set_op45")
-def g07(spark, d):
-    return hypergraphs.hyper_independent_set(big_orders(spark, d))
+def g07(spark, d, orders=big_orders):
+    return hypergraphs.hyper_independent_set(orders(spark, d))
 
 
 @query("g08_hyper_kcore_op45")
-def g08(spark, d):
-    return hypergraphs.hyper_kcore(big_orders(spark, d))
+def g08(spark, d, orders=big_orders):
+    return hypergraphs.hyper_kcore(orders(spark, d))
 
 
 @query("g10_incidence_lists_op", f"WITH {OP} SELECT 'v' AS kind, p_partkey AS id, coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '') AS outgoing FROM part LEFT JOIN i ON v = p_partkey GROUP BY 2 UNION ALL SELECT 'h', h, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM i GROUP BY h")
@@ -629,9 +629,9 @@ def i03(spark, d):
 
 
 @query("i05_hyper_adjacency_text", f"WITH {OP45} SELECT DISTINCT v, (SELECT count(DISTINCT j.h) FROM i j WHERE j.h < i.h) AS h FROM i")
-def i05(spark, d):
+def i05(spark, d, orders=big_orders):
     path = _place(spark)
-    hg = big_orders(spark, d)
+    hg = orders(spark, d)
     # hyperedge ids are compacted: files have dense ids
     pairs = text._compact(hg.v2h.select("v", "h"), "h")
     from weftgraph.model import Hypergraph
@@ -649,24 +649,24 @@ def i08(spark, d):
 
 
 @query("i09_member_lists", f"WITH {OP45}, o AS (SELECT DISTINCT v FROM i), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM o) SELECT r AS v, count(*) AS hyperedges FROM i JOIN k ON k.v = i.v GROUP BY r")
-def i09(spark, d):
+def i09(spark, d, orders=big_orders):
     path = _place(spark)
-    lists = big_orders(spark, d).h2v.groupBy("h").agg(F.array_sort(F.collect_list("v")).alias("m"))
+    lists = orders(spark, d).h2v.groupBy("h").agg(F.array_sort(F.collect_list("v")).alias("m"))
     lists.select(F.array_join(F.transform("m", lambda x: x.cast("string")), " ").alias("value")).write.text(path)
     return text.read_members(spark, path).v2h.groupBy("v").agg(F.count(F.lit(1)).alias("hyperedges"))
 
 
 @query("i10_bipartite_list", f"WITH {OP45}, o AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS a, dense_rank() OVER (ORDER BY h) - 1 AS b FROM i) SELECT a AS v, b AS h FROM o")
-def i10(spark, d):
+def i10(spark, d, orders=big_orders):
     path = _place(spark)
-    big_orders(spark, d).v2h.select(F.concat_ws(" ", "v", "h").alias("value")).write.text(path)
+    orders(spark, d).v2h.select(F.concat_ws(" ", "v", "h").alias("value")).write.text(path)
     return text.read_bipartite(spark, path).v2h.select("v", "h")
 
 
 @query("i13_compressed_hypergraph", f"WITH {OP45} SELECT v, h FROM i")
-def i13(spark, d):
+def i13(spark, d, orders=big_orders):
     path = _place(spark)
-    codecs.write_compressed_hyper(big_orders(spark, d), path, "byte")
+    codecs.write_compressed_hyper(orders(spark, d), path, "byte")
     return codecs.read_compressed_hyper(spark, path).v2h
 
 
@@ -725,17 +725,43 @@ def u09(spark, d):
 
 
 @query("u10_add_hyper_weights_op45")
-def u10(spark, d):
-    return gen.add_hyper_weights(big_orders(spark, d)).v2h
+def u10(spark, d, orders=big_orders):
+    return gen.add_hyper_weights(orders(spark, d)).v2h
 
 
 @query("u13_clique_expansion_op45", f"WITH {OP45} SELECT a.v AS src, b.v AS dst, count(*) AS edges FROM i a JOIN i b ON a.h = b.h AND a.v <> b.v GROUP BY 1, 2")
-def u13(spark, d):
-    return text.clique_expansion(big_orders(spark, d)).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("edges"))
+def u13(spark, d, orders=big_orders):
+    return text.clique_expansion(orders(spark, d)).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("u14_mesh_op45", f"WITH {OP45} SELECT h, v FROM i")
-def u14(spark, d):
+def u14(spark, d, orders=big_orders):
     path = _place(spark)
-    text.write_mesh(big_orders(spark, d), path)
+    text.write_mesh(orders(spark, d), path)
     return spark.read.schema("h long, v long").csv(path)
+
+
+# ---- the same operators over whole tables ---------------------------------------------------
+
+for _name, _from, _run in (
+    ("g01_hyper_bfs_op", "g01_hyper_bfs_op45", g01),
+    ("g02_hyper_bpath_op", "g02_hyper_bpath_op45", g02),
+    ("g03_hyper_dependency_op", "g03_hyper_dependency_op45", g03),
+    ("g04_hyper_cc_op", "g04_hyper_components_op45", g04),
+    ("g05_hyper_shortest_paths_op", "g05_hyper_shortest_paths_op45", g05),
+    ("g07_hyper_independent_set_op", "g07_hyper_independent_set_op45", g07),
+    ("g08_hyper_kcore_op", "g08_hyper_kcore_op45", g08),
+    ("i05_hyper_adjacency_text_op", "", i05),  # its SQL compares each incidence with all others
+    ("i09_member_lists_op", "i09_member_lists", i09),
+    ("i10_bipartite_list_op", "i10_bipartite_list", i10),
+    ("i13_compressed_hypergraph_op", "i13_compressed_hypergraph", i13),
+    ("u10_add_hyper_weights_op", "u10_add_hyper_weights_op45", u10),
+    ("u13_clique_expand_op", "u13_clique_expansion_op45", u13),
+    ("u14_mesh_op", "u14_mesh_op45", u14),
+):
+    query(_name, ORACLES[_from].replace(OP45, OP) if _from in ORACLES else None)(lambda spark, d, run=_run: run(spark, d, orders_parts))
+
+
+@query("a11_pagerank_ps_10it", _pagerank_sql(10).replace(CO45, PS))
+def a11_ps(spark, d):
+    return a11(spark, d, supplies)

@@ -41,6 +41,25 @@ def parts_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), items)
 
 
+def supplies(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts and suppliers joined both ways where a line item has both; suppliers are numbered after the parts, the weight is the least quantity."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ps")
+    if key not in _memo:
+        parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+        base = parts.agg(F.max("id") + 1).first()[0]
+        suppliers = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") + base).alias("id"))
+        pairs = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + base).alias("dst")).agg(F.min(F.col("l_quantity").cast("int")).cast("long").alias("w"))
+        edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        _memo[key] = Graph(parts.union(suppliers), edges, True)
+    return _memo[key]
+
+
+PS = """b AS (SELECT max(p_partkey) + 1 AS base FROM part),
+ ps AS (SELECT l_partkey AS u, l_suppkey + base AS v, min(CAST(CAST(l_quantity AS INTEGER) AS BIGINT)) AS w FROM lineitem CROSS JOIN b GROUP BY 1, 2),
+ e AS (SELECT u, v, w FROM ps UNION ALL SELECT v, u, w FROM ps),
+ n AS (SELECT p_partkey AS id FROM part UNION ALL SELECT s_suppkey + base FROM supplier CROSS JOIN b)"""
+
+
 def nations(spark: SparkSession, sf_dir: str) -> Graph:
     """Customer nation to supplier nation, one edge a line item, self-loops included."""
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
