@@ -343,3 +343,23 @@ def test_queries_over_whole_tables(spark):
     hyper = queries.QUERIES["g04_hyper_cc_op"](spark, d)
     assert hyper.where("kind = 'h'").count() == lines.select("l_orderkey").distinct().count()
     assert queries.QUERIES["a11_pagerank_ps_10it"](spark, d).count() == sum(spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("part", "supplier"))
+
+
+def test_local_clustering_runs_at_the_default_epsilon(spark, monkeypatch):
+    from weftgraph.algorithms import clustering
+    from weftgraph.plans import queries
+
+    used = []
+    for name in ("nibble", "push_pagerank"):
+        monkeypatch.setattr(clustering, name, lambda g, root, **more: used.append(more) or g.vertices.selectExpr("id", "0.5D score"))
+    for name in ("l01_nibble_co45", "l02_push_pagerank_optimised_co45", "l03_push_pagerank_co45"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(used) == 3 and not any("epsilon" in more for more in used)
+
+
+def test_factorisation_of_the_whole_table(spark):
+    from weftgraph.plans import queries
+
+    rows = queries.QUERIES["a06_factorize_ps"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 200 and all(len(r.latent) == 20 for r in rows)
+    assert len({tuple(r.latent) for r in rows}) > 100

@@ -580,9 +580,9 @@ for _name, _run in {
 # ---- local clustering -----------------------------------------------------------------------
 
 for _name, _run in {
-    "l01_nibble_co45": lambda g: clustering.nibble(g, 0, epsilon=1e-6),
-    "l02_push_pagerank_optimised_co45": lambda g: clustering.push_pagerank(g, 0, epsilon=1e-3, optimised=True),
-    "l03_push_pagerank_co45": lambda g: clustering.push_pagerank(g, 0, epsilon=1e-3),
+    "l01_nibble_co45": lambda g: clustering.nibble(g, 0),
+    "l02_push_pagerank_optimised_co45": lambda g: clustering.push_pagerank(g, 0, optimised=True),
+    "l03_push_pagerank_co45": lambda g: clustering.push_pagerank(g, 0),
     "l04_heat_kernel_co45": lambda g: clustering.heat_kernel(g, 0, levels=6),
     "l05_heat_walks_co45": lambda g: clustering.heat_walks(g, 0, walks=100),
 }.items():
@@ -765,3 +765,8 @@ for _name, _from, _run in (
 @query("a11_pagerank_ps_10it", _pagerank_sql(10).replace(CO45, PS))
 def a11_ps(spark, d):
     return a11(spark, d, supplies)
+
+
+@query("a06_factorize_ps")
+def a06_ps(spark, d):
+    return ranking.factorize(supplies(spark, d)).select("id", F.transform("latent", lambda x: F.round(x, 9)).alias("latent"))
