@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from weftgraph.storage import discard, durable
 
 
-def star_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(id, label): the smallest id of each end's component; O(log n) rounds of joins and minima.
 
     Ids without an edge to another id are not listed.  Nothing but a count and a checksum
-    reaches the driver.
+    reaches the driver.  Labels that aren't settled after ``max_rounds`` raise an error.
     """
     pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     current = durable(pairs)
@@ -30,4 +30,6 @@ def star_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return current.select(F.col("u").alias("id"), F.col("v").alias("label")).union(current.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="weftgraph-"))
         path = _own[0]
@@ -44,6 +47,8 @@ def discard(df: DataFrame | None) -> None:
     name = getattr(df, "_weftgraph_path", None)
     if name:
         spark = df.sparkSession
+        if getattr(df, "_weftgraph_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._weftgraph_table}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -55,7 +60,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     name = f"weftgraph_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/weftgraph/{name}"
     df.repartition(buckets, key).write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    kept = spark.table(name)
+    kept._weftgraph_path, kept._weftgraph_table = path, name
+    return kept
 
 
 def rows_of(df: DataFrame) -> tuple[DataFrame, int]:
