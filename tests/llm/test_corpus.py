@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips, held-out accuracy, and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -53,11 +54,11 @@ def rows_of(df, *columns):
 
 
 def brute_top(rows, k=5, of=lambda i: i % 50 == 0):
-    whole = {(i, tuple(np.floor(256 * np.asarray(v, float)).astype(int))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    whole = [(n, i, [int(math.floor(256 * float(x))) for x in v]) for n, (i, v, *_) in enumerate(rows) if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = []
-    for i, q in whole:
+    for n, i, q in whole:
         if of(i):
-            scored = sorted(((-int(sum(a * b for a, b in zip(q, v))), j) for j, v in whole if j != i))[:k]
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for m, j, v in whole if m != n)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out, key=repr)
 
@@ -65,8 +66,10 @@ def brute_top(rows, k=5, of=lambda i: i % 50 == 0):
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
-    rows += [(300, rows[7][1]), (301, rows[7][1]), (302, None), (303, [float("nan")] * 8), (304, [1.0, None] + [0.0] * 6), (None, rows[0][1]), (50, rows[50][1])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # nulls, non-finite components, a repeated query row, other rows with a query's id, a repeated vector
+    rows += [(300, rows[7][1]), (301, rows[7][1]), (302, None), (303, [float("nan")] * 8), (304, [1.0, None] + [0.0] * 6), (None, rows[0][1]), (50, rows[50][1]), (100, rows[3][1]), (100, rows[4][1])]
+    rows += [(400, []), (401, [0.5, 0.25]), (450, [float("inf")] * 8)]
+    table = spark.createDataFrame([(*r, 1, 2.0, "x", 3) for r in rows], "vec_id long, embedding array<double>, row int, gap double, pivot string, block int")
     got = mtree.top_k(table, F.col("vec_id") % 50 == 0, block=64)
     assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(rows)
     assert mtree.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -78,6 +81,33 @@ def test_top_k_with_fewer_candidates_and_ties(spark):
     assert rows_of(got, "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [9e6, -3.5]), (1, [1.0, 2.0]), (2, [9e6, 1.0]), (0, [1e12, 1e-3]), (3, [-7e9, 1e15]), (4, [1e300, 1.0]), (5, [1e308, 0.0])]
+    rows += [(10 + k, [float(v) for v in rng.normal(0, 1e9, 2)]) for k in range(40)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=16)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top([r for r in rows if r[0] != 5])
+
+
+def test_pivots_keep_queries_from_far_groups(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 1, (8, 64))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = np.floor(256 * np.concatenate([c + rng.normal(0, 0.01, (300, 64)) for c in centers]))
+    root = mtree.Pivots(x[::7], float((x * x).sum(1).max()))
+    gaps = root.gaps(x, np.sqrt(np.maximum(root.top - (x * x).sum(1), 0)))
+    near = gaps.argmin(1)
+    for p in range(len(root.points)):
+        own = gaps[near == p, p]
+        root.near[p], root.far[p] = (own.min(), own.max()) if len(own) else (np.inf, -np.inf)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    fifth = np.sort(scores, axis=1)[:, -5]
+    wanted = root.wanted(x, [int(v) for v in fifth])
+    assert all(wanted[i, near[j]] for i in range(0, len(x), 50) for j in np.argsort(-scores[i])[:5])
+    assert (wanted * np.bincount(near, minlength=len(root.points))).sum(1).mean() < len(x) / 4
+
+
 def test_mtree_prunes_and_stays_exact_for_large_numbers():
     rng = np.random.default_rng(2)
     centers = rng.integers(-2000, 2000, (12, 6))
@@ -127,6 +157,30 @@ def test_mix_targets_and_taken(spark, which, request):
     assert rows_of(mixing.mix(df), "doc_id", "taken") == rows_of(mixing.mix(df.repartition(3)), "doc_id", "taken")
 
 
+def test_mean_copies_over_seeds_are_the_rate(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("x" for _ in range(rng.choice((1, 3, 3, 20)))), "abc"[min(2, i % 5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    total, seeds = Counter(), 40
+    for seed in range(seeds):
+        plan = mixing.mix(df, seed=seed).collect()
+        total.update({r.doc_id: r.copies for r in plan})
+    for r in plan:
+        rate = r.target / r.source_size
+        assert abs(total[r.doc_id] / seeds - rate) < 0.35, r
+    for s in "abc":
+        own = [r for r in plan if r.source == s]
+        assert sum(total[r.doc_id] for r in own) / seeds / len(own) == pytest.approx(own[0].target / own[0].source_size, abs=0.02)
+
+
+def test_mix_beyond_the_broadcast_bound(spark, odd):
+    few, many = (mixing.mix(odd, bound=b) for b in (50_000, 0))
+    columns = "doc_id", "source", "size", "source_size", "target", "taken"
+    assert rows_of(few, *columns) == rows_of(many, *columns)
+    plan = mixing.mix(odd.repartition(8))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 def test_mixed_documents_and_an_empty_table(spark, odd):
     plan = {(r.doc_id, r.source): r.copies for r in mixing.mix(odd).where("doc_id is not null").collect()}
     mixed = mixing.apply_mix(odd)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.storage import durable, shared_dir  # noqa: F401
+from weftgraph.storage import discard, durable, shared_dir  # noqa: F401
 
 #: Rows and bytes per Arrow batch, so that a batch of long texts stays small in a Python worker.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20

@@ -81,12 +81,10 @@ ORACLES: dict[str, str] = {
                      CAST('0x' || substr(md5(concat_ws(chr(31), '17', source)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS drawn FROM s),
         n AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) - 1 AS i,
                      CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        c AS (SELECT n.*, k, CASE WHEN size > 0 THEN least(CAST(floor((i + 1) * rate + (drawn + k) / 16) - floor(i * rate + (drawn + k) / 16) AS BIGINT), 3) ELSE 0 END AS copies
-              FROM n, range(16) r(k)),
-        b AS (SELECT source, arg_min(k, (gap, k)) AS k FROM (SELECT source, k, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, k) GROUP BY source)
-        SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
-        FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k""",
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               size * CASE WHEN size > 0 THEN least(CAST(floor((i + 1) * rate + drawn) - floor(i * rate + drawn) AS BIGINT), 3) ELSE 0 END AS taken
+        FROM n""",
     "op10_simhash_forest": r"""
         WITH RECURSIVE r AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
         w AS (SELECT id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM r),
@@ -118,14 +116,14 @@ ORACLES: dict[str, str] = {
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op1_mtree_top_k": """
         WITH x AS (
-          SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+          SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
           FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
         s AS (
-          SELECT q.vec_id AS query_id, x.vec_id,
+          SELECT q.n, q.vec_id AS query_id, x.vec_id,
                  CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
-          FROM x q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+          FROM x q JOIN x ON x.n <> q.n WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

@@ -14,6 +14,8 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 #: Bytes that are worked on at a time (one text may be longer).
 CHUNK = 1 << 21
+#: Bytes whose range hashes are formed at once: bounds the tables of powers, whatever the longest text.
+STEP = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,10 +90,35 @@ def runs(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def hash_ranges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Hashes of byte ranges given in ascending order, about ``step`` bytes of ``raw`` at a time, whatever their length."""
+    out = np.empty(len(starts), U64)
+    for k in np.flatnonzero(ends - starts > step):
+        # a range too long for the tables: its polynomial is put together from pieces
+        total, factor = 0, 1
+        for at in range(int(starts[k]), int(ends[k]), step):
+            piece = raw[at : min(at + step, int(ends[k]))]
+            total += int((_BYTE[piece] * _powers(step + 1)[0][: len(piece)]).sum(dtype=U64)) * factor
+            factor = factor * pow(int(_BASE), step, 1 << 64) & ((1 << 64) - 1)
+        out[k] = mix(np.array([total & ((1 << 64) - 1)], U64))[0]
+    short = np.flatnonzero(ends - starts <= step)
+    a, b = (starts, ends) if len(short) == len(starts) else (starts[short], ends[short])
+    got = out if len(short) == len(starts) else np.empty(len(short), U64)
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(a, a[at] + step)))
+        low, high = int(a[at]), int(b[at:stop].max())
+        got[at:stop] = RangeHash(raw[low:high]).of(a[at:stop] - low, b[at:stop] - low)
+        at = stop
+    if got is not out:
+        out[short] = got
+    return out
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and, per text, the index of its first word (one more entry at the end)."""
     starts, ends, first = runs(raw, offsets, _WORD[raw])
-    return RangeHash(raw).of(starts, ends), first
+    return hash_ranges(raw, starts, ends), first
 
 
 def shingles(word: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
