@@ -264,6 +264,45 @@ def test_passages_match_brute_force(spark, which, block, request):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_passages([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_longest_previous_factors_match_the_naive_ones():
+    rng = random.Random(21)
+    for _ in range(20):
+        raw = np.array([rng.choice(b"ab\0") for _ in range(rng.randint(60, 400))], np.uint8)
+        at = np.array(sorted(rng.sample(range(len(raw) - 49), rng.randint(1, len(raw) - 50))))
+        ords = np.array([rng.randrange(6) for _ in at])
+        data = raw.tobytes()
+
+        def common(p, q):
+            return next((k for k in range(50) if data[p + k] != data[q + k]), 50)
+
+        want = [max((common(p, q) for q, r in zip(at, ords) if r < o), default=0) for p, o in zip(at, ords)]
+        assert suffix_dedup.longest_previous_factors(raw, at, ords).tolist() == want
+    for n in (1, 2, 7, 64, 1000):
+        v = np.array([rng.randrange(20) for _ in range(n)])
+        want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(n)]
+        assert suffix_dedup.nearest_smaller(v).tolist() == want
+
+
+def test_equal_hashes_of_unequal_surroundings_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 4000, dtype=np.uint8)
+    starts, counts = np.arange(0, 3000, 70), np.full(43, 12)
+    keys, ords = np.zeros(43, np.uint64), np.arange(43) % 5
+    want = suffix_dedup.earlier_matches(raw, starts, counts, keys, ords)
+    monkeypatch.setattr(suffix_dedup, "hash_ranges", lambda raw, a, b: np.zeros(len(a), np.uint64))
+    assert (suffix_dedup.earlier_matches(raw, starts, counts, keys, ords) == want).all()
+
+
+def test_a_passage_in_every_document(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    notice = " ".join(word() for _ in range(20))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(0, 30))), notice, *(word() for _ in range(rng.randint(0, 30)))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.dedup_report(df, block_bytes=3000)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_passages(rows)
+
+
 def test_passages_of_random_strings(spark):
     rng = random.Random(11)
     pool = ["".join(rng.choice("ab") for _ in range(rng.randint(30, 90))) for _ in range(12)]

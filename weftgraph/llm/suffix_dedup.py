@@ -5,9 +5,11 @@ One suffix array over a whole corpus would need one machine, so its positions ar
 split by content: each string position belongs to its minimiser, the position of the
 smallest hash among the string's ``GRAM``-byte substrings.  Equal strings have equal
 minimisers, so every bucket of minimisers can be sorted by itself.  In a bucket, the
-positions are put in suffix order (cut at ``LENGTH`` bytes); a position's longest previous
-factor reaches ``LENGTH`` exactly if a neighbour in that order, with all common prefixes
-between of full length, has a smaller document: the previous or next smaller one.
+positions are put in suffix order (cut at ``LENGTH`` bytes).  The previous and the next
+smaller position in that order, by document, hold a position's longest earlier match: they
+give the array of longest previous factors, and where it reaches ``LENGTH`` the string goes.
+Surroundings that equal those of an earlier document whole, byte by byte, need no sorting:
+all their strings go.
 
 Stages, each of which visits the texts in the same stored blocks:
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST, prepare, release, shared_dir
-from .textkernel import U64, RangeHash, buffers
+from .textkernel import U64, RangeHash, buffers, hash_ranges
 
 LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1
@@ -106,6 +108,8 @@ class Block:
         k, c, s = self.key[order], ctx[order], size[order]
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+        alike = np.flatnonzero(~fresh)  # equal hashes are confirmed on the bytes
+        fresh[alike] = ~same_bytes(self.raw, self.first[order[alike]], self.first[order[alike - 1]], s[alike])
         group = np.empty(len(k), np.int64)
         group[order] = np.cumsum(fresh) - 1
         stand = order[fresh]
@@ -113,18 +117,65 @@ class Block:
         return group, stand, least
 
 
-def hash_ranges(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges given in ascending order, a bounded piece of ``raw`` at a time."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP)))
-        low, high = int(starts[at]), int(ends[at:stop].max())
-        out[at:stop] = RangeHash(raw[low:high]).of(starts[at:stop] - low, ends[at:stop] - low)
-        at = stop
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (up to _REACH) from each of ``a`` on equal those from ``b`` on."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(_REACH, np.uint8)]), _REACH)
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), 1 << 15):
+        s = slice(at, at + (1 << 15))
+        out[s] = ((view[a[s]] == view[b[s]]) | (np.arange(_REACH) >= size[s, None])).all(1)
     return out
 
 
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """The last earlier position with a strictly smaller value, -1 where there is none: up and down a tree of minima."""
+    n = len(values)
+    levels = [values]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        if len(low) % 2:
+            low = levels[-1] = np.append(low, np.iinfo(np.int64).max)
+        levels.append(np.minimum(low[::2], low[1::2]))
+    found = np.full(n, -1, np.int64)
+    rest = np.arange(n)
+    for height, low in enumerate(levels[:-1]):
+        node = rest >> height
+        # the left sibling of a right child lies just before all that was looked at
+        hit = (node % 2 == 1) & (low[np.maximum(node - 1, 0)] < values[rest])
+        who, at = rest[hit], node[hit] - 1
+        for down in range(height - 1, -1, -1):
+            at = 2 * at + 1
+            at -= levels[down][at] >= values[who]
+        found[who] = at
+        rest = rest[~hit]
+    return found
+
+
+def longest_previous_factors(raw: np.ndarray, at: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """For each string position the length, up to LENGTH, of its longest factor that also starts in a smaller document order.
+
+    The positions are put in suffix order.  The nearest smaller positions before and after
+    a position in that order, by document order, hold its longest earlier match; its length
+    is counted on the bytes.
+    """
+    view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    suffix = np.argsort(view[at].view(f"S{LENGTH}").ravel(), kind="stable")
+    own = ords[suffix]
+    n = len(at)
+    before = nearest_smaller(own)
+    after = nearest_smaller(own[::-1])[::-1]
+    after = np.where(after < 0, -1, n - 1 - after)
+    lpf = np.zeros(n, np.int64)
+    for other in (before, after):
+        some = np.flatnonzero(other >= 0)
+        for k in range(0, len(some), 1 << 15):
+            here = some[k : k + (1 << 15)]
+            unlike = view[at[suffix[here]]] != view[at[suffix[other[here]]]]
+            length = np.where(unlike.any(1), unlike.argmax(1), LENGTH)
+            lpf[suffix[here]] = np.maximum(lpf[suffix[here]], length)
+    return lpf
+
+
 def earlier_matches(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray, ords: np.ndarray) -> np.ndarray:
     """For each record (``counts`` string positions from ``starts`` on) a bit mask of those with a match in a smaller document order."""
     n = len(starts)
@@ -137,6 +188,8 @@ def earlier_matches(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, key
     new_key[1:] = k[1:] != k[:-1]
     new_form = new_key.copy()
     new_form[1:] |= (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    alike = np.flatnonzero(~new_form)  # equal hashes are confirmed on the bytes
+    new_form[alike] = ~same_bytes(raw, starts[order[alike]], starts[order[alike - 1]], c[alike] + LENGTH - 1)
     form = np.cumsum(new_form) - 1
     least = ords[order][np.flatnonzero(new_form)]  # sorted by order within a form
     later = ords[order] > least[form]
@@ -171,18 +224,18 @@ def _suffix_test(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, ords:
     """Per record, the bits of its string positions whose longest previous factor reaches ``LENGTH``."""
     record = np.repeat(np.arange(len(starts)), counts)
     inside = np.arange(len(record)) - np.repeat(np.cumsum(counts) - counts, counts)
-    view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[starts[record] + inside].view(f"S{LENGTH}").ravel()
-    suffix = np.argsort(view, kind="stable")  # suffix order, cut at LENGTH bytes
-    begins = np.ones(len(suffix), bool)
-    begins[1:] = view[suffix[1:]] != view[suffix[:-1]]  # common prefixes below LENGTH end a run
-    own = ords[record[suffix]]
-    # the smallest order in a run is a previous or next smaller neighbour of all others
-    smaller = np.minimum.reduceat(own, np.flatnonzero(begins))[np.cumsum(begins) - 1] < own
+    long = np.flatnonzero(longest_previous_factors(raw, starts[record] + inside, ords[record]) >= LENGTH)
     bits = np.zeros(len(starts), U64)
-    np.bitwise_or.at(bits, record[suffix[smaller]], U64(1) << inside[suffix[smaller]].astype(U64))
+    np.bitwise_or.at(bits, record[long], U64(1) << inside[long].astype(U64))
     return bits
 
 
+def block_size(docs: DataFrame) -> int:
+    """Bytes of a block: a passage that every block holds sends one record a block to one task, so blocks grow with a very large corpus."""
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(BLOCK_BYTES, min(stored >> 22, 32 * BLOCK_BYTES)) if stored < 1 << 60 else BLOCK_BYTES  # a size not known counts as small
+
+
 def _store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     """The texts in blocks, in a table bucketed by ``part`` so that joins on it don't move them; and the bytes of all texts."""
     spark = docs.sparkSession
@@ -274,11 +327,11 @@ def _slices(sorted_buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(sorted_buckets[a]), slice(a, b)
 
 
-def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_bytes: int | None) -> DataFrame:
     """Run the three stages; ``emit(block, gone, rest)`` makes the record batch of a block, ``gone`` marks its removed bytes."""
     spark = docs.sparkSession
     prepare(spark)
-    blocks, total = _store(docs, id_col, text_col, block_bytes)
+    blocks, total = _store(docs, id_col, text_col, block_bytes or block_size(docs))
     bits = max(3, int(np.ceil(np.log2(max(total / (_SPAN / 2) / BUCKET, 1)))))
     shift = U64(64 - bits)
     answer = "array<struct<block: long, bucket: int, got: binary, ids: binary>>"
@@ -399,7 +452,7 @@ def _removed(docs: DataFrame, emit, schema, id_col: str, text_col: str, block_by
     return told.select("block", "raw", "offsets", "ords", "rest", F.col("answers").cast(answer).alias("answers")).mapInArrow(remove, schema)
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row.
 
     Null texts count as empty.  A null id comes after all others.  Rows of one id don't
@@ -423,10 +476,13 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _removed(chosen, emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col, block_bytes)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes removed from the texts; characters cut in two go whole.
 
-    Null texts stay null; texts that are removed whole become empty.
+    Null texts stay null; texts that are removed whole become empty.  A null id comes after
+    all others; rows of one id (repeated rows and ties included) keep what they share; a text
+    may have any length; all rows and columns stay, whatever the names.  An empty table gives
+    an empty result.
     """
     names, schema = docs.columns, docs.schema
 
