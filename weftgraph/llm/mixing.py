@@ -105,7 +105,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text = F.col(text_col)
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
-    numbered = global_row_number(sized, *_order(F.col("text_hash")))
+    # stored first: the ranges of the numbering are found by a pass of its own, which needn't read the texts
+    numbered = global_row_number(durable(sized), *_order(F.col("text_hash")))
     return _planned(numbered, weights, most, seed, bound).withColumn("taken", F.col("copies") * F.col("size"))
 
 
