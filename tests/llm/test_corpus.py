@@ -511,17 +511,73 @@ def test_recall_of_links_with_the_forest(spark):
     assert all(g in want or g[0] == g[1] for g in got)
 
 
-def test_dense_buckets_are_met_in_windows(spark):
-    rng = random.Random(10)
+def pairs_at_the_threshold(rng, words, families, low=0.8):
+    """Rows of two texts each, of the least similarity from ``low`` on that edits of single words at an end give."""
+    rows = []
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for f in range(families):
+        base = [f"{rng.randrange(10**6)}" for _ in range(rng.randint(*words))]
+        copy, edits = list(base), 0
+        while True:
+            trial = list(copy)
+            edits += 1
+            if rng.random() < 0.5:
+                trial.append(f"e{f}_{edits}")
+            else:
+                trial = trial[1:] if rng.random() < 0.5 else [*trial[:-1], f"e{f}_{edits}"]
+            if len(trial) < 5 or len(sets(base) & sets(trial)) < low * len(sets(base) | sets(trial)):
+                break
+            copy = trial
+        if copy != base:
+            rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(copy))]
+    return rows
+
+
+@pytest.mark.parametrize("words, families", [((8, 15), 500), ((60, 60), 200), ((200, 200), 150)])
+@pytest.mark.parametrize("bucket, levels", [(64, 3), (8, 3)])
+def test_recall_at_the_threshold_by_length(spark, words, families, bucket, levels):
+    rows = pairs_at_the_threshold(random.Random(words[0]), words, families)
+    got = dict(rows_of(simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket), "doc_id", "class_id"))
+    odd = [i for i, _ in rows if i % 2]
+    assert len(odd) > families / 4
+    assert sum(got[i] == i - 1 for i in odd) / len(odd) >= 0.98
+    assert all(got[i] in (i, i - 1) for i in odd)
+
+
+def test_least_agreement_of_bits():
+    """AGREE and AGREE_TINY bound the agreement of a bit of two sets of the given similarity, counted out by binomials."""
+
+    def votes(k):
+        return np.array([math.comb(k, i) for i in range(k + 1)]) / 2.0**k, 2 * np.arange(k + 1) - k
+
+    def agree(both, x, y):
+        p, v = votes(both)
+        up = [np.array([q[w + c > 0].sum() for c in v]) for q, w in (votes(x), votes(y))]
+        return float((p * (up[0] * up[1] + (1 - up[0]) * (1 - up[1]))).sum())
+
+    for n in range(1, 90):
+        for m in range(n, int(n / 0.8) + 1):
+            both = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+            if both <= n:
+                assert agree(both, n - both, m - both) >= (simhash_forest.AGREE_TINY if (n, m) == (4, 5) else simhash_forest.AGREE), (n, m)
+
+
+def variants(seed, count, edits=1):
+    rng = random.Random(seed)
     base = [f"{rng.randrange(10**6)}" for _ in range(100)]
     rows = []
-    for i in range(400):
+    for i in range(count):
         copy = list(base)
-        copy[rng.randrange(100)] = f"v{i}"
+        for at in rng.sample(range(100), edits):
+            copy[at] = f"v{i}"
         rows.append((i, " ".join(copy)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = simhash_forest.candidates(simhash_forest.signatures(df, "doc_id", "text").select(F.col("doc_id").alias("node"), "sim"), 400, window=64)
-    assert pairs.count() < 400 * 60  # not all pairs of the group
+    return rows
+
+
+def test_a_family_takes_few_pairs(spark):
+    df = spark.createDataFrame(variants(10, 400), "doc_id long, text string")
+    first = simhash_forest.neighbours(simhash_forest.signatures(df, "doc_id", "text").select(F.col("doc_id").alias("node"), "sim", "n"))
+    assert first.count() <= 400  # not all pairs of the group
     assert {r.class_id for r in simhash_forest.near_duplicates(df).collect()} == {0}
 
 
@@ -535,20 +591,20 @@ def test_one_document_of_a_class_stays(spark, odd):
 
 
 def test_all_pairs_of_a_dense_bucket_are_met(spark):
-    rng = random.Random(12)
-    base = [f"{rng.randrange(10**6)}" for _ in range(100)]
-    rows = []
-    for i in range(300):
-        copy = list(base)
-        copy[rng.randrange(100)] = f"v{i}"
-        rows.append((i, " ".join(copy)))
-    signed = simhash_forest.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").selectExpr("doc_id node", "sim", "doc_id % 7 label")
-    sims = [np.frombuffer(r.sim, ">u8") for r in signed.orderBy("node").collect()]
-    far = lambda a, b, k: int(np.bitwise_count(sims[a][k] ^ sims[b][k]))
-    want = {(a, b) for a in range(300) for b in range(a) if a % 7 != b % 7 and far(a, b, 0) <= simhash_forest.NEAR_HALF and far(a, b, 0) + far(a, b, 1) <= simhash_forest.NEAR}
+    df = spark.createDataFrame(variants(12, 300), "doc_id long, text string")
+    signed = simhash_forest.signatures(df, "doc_id", "text").selectExpr("doc_id node", "sim", "n", "doc_id % 7 label").cache()
+    rows = signed.orderBy("node").collect()
+    sims, n = np.stack([np.frombuffer(r.sim, ">u8") for r in rows]), np.array([r.n for r in rows])
+    i, j = np.tril_indices(300, -1)
+    keep, _ = simhash_forest.alike(sims.astype(np.uint64), simhash_forest.near_limit(n), n, i, j)
+    keep &= (i % 7 != j % 7) & (np.bitwise_count(sims[i, 0] ^ sims[j, 0]) <= simhash_forest.NEAR_HALF)
+    want = set(zip(i[keep].tolist(), j[keep].tolist()))
     assert len(want) > 30_000
-    for window in (16, 64):  # several tasks a bucket; several blocks a task
-        assert set(rows_of(simhash_forest.candidates(signed, 300, window=window), "a", "b")) == want
+    for most in (40, 100, 1000):  # dealt to many tasks, to few, to one
+        assert set(rows_of(simhash_forest.candidates(signed, 300, most=most, levels=1), "a", "b")) == want
+    # places that hold too much work are left for deeper forests, where the last one compares everything
+    deep = set(rows_of(simhash_forest.candidates(signed, 300, most=40, levels=3), "a", "b"))
+    assert deep <= want and len(deep) > 0.9 * len(want)
 
 
 def test_unverified_links_drop_no_true_ones(spark):
