@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST, prepare
-from .textkernel import CHUNK, U64, buffers, mix, shingles, words
+from .textkernel import CHUNK, U64, buffers, hash_ranges, mix, shingles, words
 
 SAMPLES = 48
 _BITS = 18
@@ -36,11 +37,15 @@ _SHIFT = U64(64 - _BITS)
 
 
 def weighted_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles per text: (terms, counts, bounds of each text)."""
+    """Distinct shingles per text: (terms, counts, bounds of each text); a text without words is one term of its own."""
     import pyarrow.compute as pc
 
     raw, offsets = buffers(pc.utf8_lower(column.cast(pa.large_string())))
     terms, bounds = shingles(*words(raw, offsets))
+    bare = np.flatnonzero((np.diff(bounds) == 0) & (np.diff(offsets) > 0))
+    if len(bare):
+        terms = np.insert(terms, bounds[bare], hash_ranges(raw, offsets[bare], offsets[bare + 1]))
+        bounds = bounds + np.searchsorted(bare, np.arange(len(bounds)))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((terms, owner))
     terms, owner = terms[order], owner[order]
@@ -115,7 +120,12 @@ def edit(text: str, following: str) -> str:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) for each whole text; null counts as empty, empty texts share one fingerprint."""
+    """(doc_id, fingerprint) for each whole text of any length.
+
+    Null counts as empty, empty texts share one fingerprint, a text without words is a set of
+    one term; null ids, ties and repeated rows stay; other columns are ignored; an empty table
+    gives an empty result.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -127,53 +137,69 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text, part, place, extra) such that, sorted by (part, extra, place, text), each row's successor follows it.
+    """Rows (doc_id, text, task, part, place, tie, extra) such that, sorted by (part, extra, place, tie), each row's successor follows it.
 
     The ids are cut into ranges; each range also gets the first rows of the next one
-    (``extra``).  Only ids are scanned to find the cuts, and the texts move once.
+    (``extra``).  Only ids are scanned to find the cuts, and the texts move once.  An id that
+    holds several ranges' worth of rows (null ids, say) is cut further by the hash of the text.
+    ``task`` numbers the ranges so that Spark's hash spreads them evenly.
     """
     spark = docs.sparkSession
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.alias("place"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), place.alias("place"), F.xxhash64(text).alias("tie"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)], 10000)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-
-    def part_of(column) -> F.Column:
-        @F.pandas_udf("int")
-        def find(x):
-            import pandas as pd
+    found = docs.select(place.alias("place")).agg(F.percentile_approx("place", [k / n for k in range(1, n)], 10000)).first()[0] if n > 1 else []
+    cuts: list[tuple[int, int]] = []
+    for value, times in sorted(Counter(found or []).items()):
+        cuts.append((value, -(1 << 63)))
+        cuts += [(value, -(1 << 63) + (1 << 64) * k // times) for k in range(1, times)]
+    values, ties = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+
+    def parts_of(place: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(values, place), np.searchsorted(values, place, "right")
+        out = high.copy()
+        several = high - low > 1
+        for k in np.unique(low[several]):  # ids that are cut further
+            rows = several & (low == k)
+            out[rows] = k + np.searchsorted(ties[k : high[rows][0]], tie[rows], "right")
+        return out
 
-            return pd.Series(np.searchsorted(np.array(cuts, np.int64), x.to_numpy(), "right").astype("int32"))
+    @F.pandas_udf("int")
+    def part_of(place, tie):
+        import pandas as pd
 
-        return find(column) if cuts else F.lit(0)
+        return pd.Series(parts_of(place.to_numpy(), tie.to_numpy()).astype("int32"))
 
-    # the smallest id of each range: as many values as ranges
-    firsts = {r[0]: r[1] for r in rows.select("place").withColumn("part", part_of(F.col("place"))).groupBy("part").agg(F.min("place")).collect()}
+    # the first key of each range: as many as ranges
+    firsts = {r[0]: (r[1], r[2]) for r in rows.select(part_of("place", "tie").alias("part"), F.struct("place", "tie").alias("key")).groupBy("part").agg(F.min("key").alias("key")).select("part", "key.place", "key.tie").collect()}
     order = sorted(firsts)
     before = {firsts[p]: order[k - 1] for k, p in enumerate(order)}  # the range before, around the end
-    rows = rows.withColumn("part", part_of(F.col("place")))
-    if not before:
-        return rows.withColumn("extra", F.lit(False))
-    keys, values = sorted(before), [before[k] for k in sorted(before)]
+    # a number for each range such that hashing spreads the ranges evenly over the tasks
+    hashed = spark.range(24 * n).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("b")).collect()
+    label: dict[int, int] = {}
+    for r in hashed:
+        label.setdefault(r["b"], r["v"])
+    labels = [label.get(p % n, p) for p in range(len(cuts) + 1)]
 
     @F.pandas_udf("int")
-    def into(x):
+    def into(place, tie):
         import pandas as pd
 
-        table = dict(zip(keys, values))
-        return pd.Series([table.get(v, -1) for v in x.tolist()], dtype="int32")
+        return pd.Series([before.get(k, -1) for k in zip(place.tolist(), tie.tolist())], dtype="int32")
 
-    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(into("place").alias("part"), F.lit(True).alias("extra")))
+    rows = rows.withColumn("part", part_of("place", "tie"))
+    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(into("place", "tie").alias("part"), F.lit(True).alias("extra")))
     spread = rows.withColumn("_to", F.explode(F.filter(copies, lambda c: c["part"] >= 0)))
-    return spread.select("doc_id", "text", "place", F.col("_to.part").alias("part"), F.col("_to.extra").alias("extra"))
+    task = F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("_to.part") + 1)
+    return spread.select("doc_id", "text", task.alias("task"), F.col("_to.part").alias("part"), "place", "tie", F.col("_to.extra").alias("extra"))
 
 
 def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit with the next document, and their likeness.
 
-    The next document is the following one in ascending doc_id (equal ids by text, null
-    ids last); after the last comes the first.  Null texts are empty.  A single document is
+    The next document is the following one in ascending doc_id (equal ids by a hash of the
+    text, null ids last); after the last comes the first.  Null texts are empty.  A single document is
     its own successor.  Repeated rows are documents of their own; an empty table gives an
     empty result; other columns are ignored.
     """
@@ -202,7 +228,7 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         held: tuple | None = None  # the last row: its successor is in the next batch
         done: int | None = None  # a range that met its extra row needs no more
         for batch in batches:
-            ids, texts, parts, extras = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            ids, texts, parts, extras = (batch.column(k).to_pylist() for k in range(4))
             k = 0
             while k < len(ids):
                 part = parts[k]
@@ -219,4 +245,4 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         done, held = part, None
                 k = end
 
-    return rows.repartition(F.col("part")).sortWithinPartitions("part", "extra", "place", "text").select("doc_id", "text", "place", "part", "extra").mapInArrow(run, schema)
+    return rows.repartition(F.col("task")).sortWithinPartitions("part", "extra", "place", "tie").select("doc_id", "text", "part", "extra").mapInArrow(run, schema)
