@@ -25,7 +25,8 @@ from .token_counts import PIECE
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for pieces of ASCII alone, where the standard engine's classes agree.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-MEMORY = 500_000
+#: Entries of a worker's memory of pieces, and the longest piece that it keeps: both bound its bytes.
+MEMORY, KEPT = 500_000, 48
 
 
 def pretokens(piece: str) -> list[str]:
@@ -174,6 +175,7 @@ class TrieBPE:
             self.words.clear()
         self.learn(need.difference(self.words))
         get = self.words.__getitem__
+        long = [piece for piece in need if len(piece) > KEPT]
         out = []
         for part in parts:
             ids: list[int] = []
@@ -183,6 +185,8 @@ class TrieBPE:
                 else:
                     ids.extend(chain.from_iterable(map(get, x)))
             out.append(ids)
+        for piece in long:
+            del self.words[piece]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -202,8 +206,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """Encode each whole text, then decode the ids.
 
     Returns doc_id, n_tokens and, as chosen, ``ids`` and ``decoded`` or their SHA-256
-    digests.  Null and empty texts have no ids; null ids and repeated rows stay; an empty
-    table gives an empty result; other columns are ignored.
+    digests.  Null and empty texts have no ids; null ids and repeated rows stay; texts of any
+    length are encoded whole; an empty table gives an empty result; all other columns (lang,
+    source and any extra ones, whatever their names) are left out.
     """
     prepare(docs.sparkSession)
     fields = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64())]

@@ -22,8 +22,8 @@ from .common import prepare
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A cut before white space after other text, and inside white space where byte-level pre-tokenizers cut it.
 PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Entries that a worker's memory of pieces may hold before it starts anew.
-MEMORY = 1_000_000
+#: Entries that a worker's memory of pieces may hold before it starts anew, and the longest piece that it keeps: both bound its bytes.
+MEMORY, KEPT = 1_000_000, 48
 #: Bytes of a batch given to the library.
 BATCH_BYTES = 1 << 18
 
@@ -73,10 +73,15 @@ class Counter:
             self.lengths.clear()
         cut = [self.cut(text) for text in texts]
         new = set(chain.from_iterable(cut)).difference(self.lengths)
+        long = {}
         for batch in balanced(list(new)):
             self.lengths.update(zip(batch, self.encode(batch)))
+            if len(batch[0]) > KEPT:  # longest first
+                long.update((piece, self.lengths.pop(piece)) for piece in batch if len(piece) > KEPT)
         get = self.lengths.__getitem__
-        return [sum(map(get, pieces)) for pieces in cut]
+        if not long:
+            return [sum(map(get, pieces)) for pieces in cut]
+        return [sum(long[p] if len(p) > KEPT else get(p) for p in pieces) for pieces in cut]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -93,7 +98,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_bytes, n_tokens) for each row.
 
     Null and empty texts count 0 bytes and 0 tokens; null ids and repeated rows are kept
-    as they are, an empty table gives an empty result, other columns are ignored.
+    as they are, an empty table gives an empty result, other columns are ignored.  A text of
+    any length is counted whole; only a run without any white space is one piece.
     """
     prepare(docs.sparkSession)
 
