@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -376,8 +377,6 @@ def test_language_edge_cases(spark, odd):
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_shards_are_level_and_slots_gapless(spark, which, request):
-    import zlib
-
     df = request.getfixturevalue(which)
     got = sharding.shard(df).collect()
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect()), key=repr)
@@ -402,19 +401,57 @@ def test_hot_texts_overflow_clockwise_and_growth_moves_little(spark):
     assert sum(a[i] != b[i] for i in a) / len(a) < 0.4  # near 1/9 without bounds, near 8/9 for a hash modulo the shards
 
 
-def test_flow_by_one_row_at_a_time():
+def walk_ring(arcs, shards):
+    """Row by row: each shard first takes its own rows while it has room, then each other row goes on clockwise."""
+    total = sum(n for n, _ in arcs)
+    demand = Counter()
+    for n, s in arcs:
+        demand[s] += n
+    room = {s: total // shards for s in range(shards)}
+    for s in sorted(range(shards), key=lambda s: (-demand[s], s))[: total % shards]:
+        room[s] += 1
+    to, row, late = {}, 0, []
+    for k, (n, s) in enumerate(arcs):
+        for _ in range(n):
+            if room[s]:
+                to[row], room[s] = s, room[s] - 1
+            else:
+                late.append((k, row))
+            row += 1
+    for k, row in late:
+        while not room[arcs[k % len(arcs)][1]]:
+            k += 1
+        to[row] = arcs[k % len(arcs)][1]
+        room[to[row]] -= 1
+    return to
+
+
+def test_flow_matches_a_walk_row_by_row():
     rng = random.Random(5)
-    for _ in range(50):
-        arcs = [(rng.randint(0, 6), rng.randrange(4)) for _ in range(12)]
-        for s in range(4):
-            arcs.append((0, s))
+    for _ in range(200):
+        arcs = [(rng.choice((0, 1, 2, 6, 30)), rng.randrange(4)) for _ in range(12)] + [(0, s) for s in range(4)]
         runs = sharding.flow(arcs, 4)
-        total = sum(n for n, _ in arcs)
-        assert sorted(x for a, n, _, _ in runs for x in range(a, a + n)) == list(range(total))
-        load = Counter()
-        for _, n, s, _ in runs:
-            load[s] += n
-        assert max(load[s] for s in range(4)) - min(load[s] for s in range(4)) <= 1
+        got = {x: s for a, n, s, _ in runs for x in range(a, a + n)}
+        assert got == walk_ring(arcs, 4)
+        for s in range(4):
+            slots = sorted(f + k for _, n, t, f in runs if t == s for k in range(n))
+            assert slots == list(range(len(slots)))
+
+
+def test_shards_match_a_walk_of_the_ring(spark, odd):
+    """Every row by its ring place, shard by shard as the row-by-row walk says."""
+    got = sharding.shard(odd, 5, 7).collect()
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    nodes = sharding.ring(5, 7)
+    texts = sorted(((place(r.text or ""), r.text or "") for r in odd.select("text").collect()))
+    arcs, at = [], 0
+    for p, s in nodes:
+        n = sum(q <= p for q, _ in texts)
+        arcs.append((n - at, s))
+        at = n
+    arcs.append((len(texts) - at, nodes[0][1]))
+    want = Counter((zlib.crc32(texts[row][1].encode()), s) for row, s in walk_ring(arcs, 5).items())
+    assert Counter((r.text_crc32, r.shard) for r in got) == want
 
 
 # ---- 9: fingerprints
@@ -423,19 +460,70 @@ def test_flow_by_one_row_at_a_time():
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_edit_study_matches_brute_force(spark, which, request):
     df = request.getfixturevalue(which)
-    rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    texts = [t for _, t in rows]
+    rows = sorted(((r.doc_id, r.text or "", r.tie) for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    texts = [t for _, t, _ in rows]
     edited = [fingerprints.edit(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
     own, changed = fingerprints.sign(texts), fingerprints.sign(edited)
     after = np.roll(own, -1, axis=0)
     hexes = lambda m: [s.astype(">u2").tobytes().hex() for s in m]
-    want = list(zip([i for i, _ in rows], map(len, texts), [hashlib.sha256(e.encode()).hexdigest() for e in edited], hexes(own), hexes(changed), fingerprints.likeness(own, changed), fingerprints.likeness(own, after)))
+    want = list(zip([i for i, _, _ in rows], map(len, texts), [hashlib.sha256(e.encode()).hexdigest() for e in edited], hexes(own), hexes(changed), fingerprints.likeness(own, changed), fingerprints.likeness(own, after)))
     got = fingerprints.edit_study(df.repartition(3))
     assert rows_of(got, *got.columns) == sorted(((a, b, c, d, e, float(f), float(g)) for a, b, c, d, e, f, g in want), key=repr)
     assert fingerprints.edit_study(df.limit(0)).count() == 0
     assert fingerprints.edit_study(df.where("doc_id = 1")).first().near_next == 1.0
 
 
+def test_a_hot_id_is_cut_further(spark):
+    rows = [(None if i % 5 else i, f"text number {i} of some words {i * 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spread = fingerprints.with_successor(df, "doc_id", "text").where("not extra").groupBy("part").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 160  # 320 rows have no id
+    order = sorted(((r.doc_id, r.text, r.tie) for r in df.withColumn("tie", F.xxhash64("text")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = {hashlib.sha256(fingerprints.edit(a[1], b[1]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1])}
+    got = fingerprints.edit_study(df).collect()
+    assert len(got) == 400 and {r.edited_sha256 for r in got} == want
+
+
+def test_samples_match_brute_force():
+    """Term by term with scalar arithmetic: the least arrival c / (y exp(r)) of y = exp(r (t - beta)), t = floor(log w / r + beta)."""
+    rng = random.Random(30)
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    docs = [sorted((rng.getrandbits(64), rng.choice((1, 1, 2, 7, 40))) for _ in range(m)) for m in (1, 3, 30, 200)]
+    bounds = np.cumsum([0, *map(len, docs)])
+    got = fingerprints.signatures(np.array([t for d in docs for t, _ in d], np.uint64), np.array([n for d in docs for _, n in d]), bounds, 48)
+    for d, row in zip(docs, got):
+        for k, code in enumerate(row):
+            best = None
+            for term, n in d:
+                h = (term ^ int(fingerprints._SALT[k])) * int(fingerprints._SALT[k + 128]) & full
+                h ^= h >> 32
+                h = h * 0x9FB21C651E98DF25 & full
+                spot = h >> (64 - fingerprints._BITS)
+                r, c, beta = float(fingerprints._R[spot]), math.exp(float(fingerprints._LOGC[spot])), float(fingerprints._BETA[spot])
+                t = math.floor(math.log(n) / r + beta)
+                arrival = c / (math.exp(r * (t - beta)) * math.exp(r))
+                if best is None or arrival < best[0]:
+                    best = arrival, term, t if n > 1 else 0
+            _, term, t = best
+            assert code == (mixed((term + k & full) ^ (t * 0xC2B2AE3D27D4EB4F & full)) >> 48) | 1
+
+
+def test_texts_without_words_differ(spark):
+    df = spark.createDataFrame([(1, "!!!"), (2, "???"), (3, "!!!"), (4, ""), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(df).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == got[5] and fingerprints.fingerprint(df.limit(0)).count() == 0
+    a, b = fingerprints.sign(["!!!", "???"])
+    assert fingerprints.likeness(a[None], b[None])[0] < 0.1
+
+
 def test_collision_rate_is_generalised_jaccard():
     rng = random.Random(4)
     words = [f"w{k}" for k in range(40)]
@@ -694,5 +782,5 @@ def test_queries_with_sql(spark):
 
 
 def test_terms_of_short_texts():
-    terms, counts, bounds = fingerprints.weighted_terms(pa.array(["", "one", "a b c d e f", None]))
-    assert np.diff(bounds).tolist() == [0, 1, 2, 0] and counts.tolist() == [1, 1, 1]
+    terms, counts, bounds = fingerprints.weighted_terms(pa.array(["", "one", "?!", "a b c d e f", None, "--"]))
+    assert np.diff(bounds).tolist() == [0, 1, 1, 2, 0, 1] and counts.tolist() == [1] * 5
