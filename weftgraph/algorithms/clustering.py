@@ -73,10 +73,9 @@ def push_pagerank(graph: Graph, root: int = 0, alpha: float = 0.15, epsilon: flo
 
 
 def heat_coefficients(t: float, levels: int) -> list[float]:
-    """psi_k: the tail sums of the heat series from level k."""
-    psi = [0.0] * (levels + 1)
-    psi[levels] = 1.0
-    for k in range(levels - 1, -1, -1):
+    """psi_k for k below ``levels``: the sums over m < levels - k of k! t^m / (m + k)!."""
+    psi = [1.0] * levels
+    for k in range(levels - 2, -1, -1):
         psi[k] = psi[k + 1] * t / (k + 1) + 1
     return psi
 
@@ -89,7 +88,7 @@ def heat_kernel(graph: Graph, root: int = 0, t: float = 3.0, epsilon: float = 1e
     residual = _seed(g, root)
     scores = None
     for j in range(levels):
-        bound = math.exp(t) * epsilon / (2.0 * levels * psi[j]) if psi[j] else 0.0
+        bound = math.exp(t) * epsilon / (2.0 * levels * psi[j])
         active = residual.join(deg, "id")
         if j:
             active = active.where(F.col("score") >= F.col("deg") * bound)

@@ -1,7 +1,7 @@
 """Eccentricities of symmetric graphs: exact, bounded and estimated.
 
 Every function returns (id, value).  Where sources are drawn, they are the vertices with
-the smallest hash of (seed, id), so results are the same in every run.
+the smallest MD5 of "seed#id", so results are the same in every run and in other engines.
 """
 
 from __future__ import annotations
@@ -23,13 +23,19 @@ def labelled(graph: Graph) -> DataFrame:
     return durable(labels.join(sizes, "label").select("id", "label", "size"))
 
 
-def _draw(seed: int, *cols) -> F.Column:
-    return F.xxhash64(F.lit(seed), *cols)
+def _draw(seed: int, column: str = "id") -> F.Column:
+    """The MD5 that orders and marks vertices at random."""
+    return F.md5(F.concat(F.lit(f"{seed}#"), F.col(column).cast("string")))
+
+
+def _bits(seed: int) -> F.Column:
+    """60 random bits of a vertex."""
+    return F.conv(F.substring(_draw(seed), 1, 15), 16, 10).cast("long")
 
 
 def _sample(parts: DataFrame, most, seed: int) -> DataFrame:
     """Per component, the ``most`` members of smallest hash."""
-    by = Window.partitionBy("label").orderBy(_draw(seed, "id"), "id")
+    by = Window.partitionBy("label").orderBy(_draw(seed), "id")
     return parts.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= most)
 
 
@@ -117,7 +123,7 @@ def sketch(graph: Graph, counters: int = 1, seed: int = 1) -> DataFrame:
     columns = [f"b{k}" for k in range(counters)]
 
     def mask(k: int) -> F.Column:
-        h = _draw(seed + k, "id")
+        h = _bits(seed + k)
         low = h.bitwiseAND(-h)  # the lowest set bit
         return F.when(h == 0, F.lit(1).cast("long")).otherwise(low)
 
@@ -141,8 +147,8 @@ def registers(graph: Graph, count: int = 10, seed: int = 1) -> DataFrame:
     """Estimates from LogLog registers spread by maximum: the last round in which a register grew."""
     g = graph.pinned()
     names = [f"r{k}" for k in range(count)]
-    slot = F.pmod(_draw(seed, "id"), F.lit(count))
-    bits = _draw(seed + 1, "id")
+    slot = F.pmod(_bits(seed), F.lit(count))
+    bits = _bits(seed + 1)
     # trailing zeros plus one, at most 63
     zeros = F.when(bits == 0, 63).otherwise(F.least(F.lit(63), F.round(F.log2(F.abs(bits.bitwiseAND(-bits)).cast("double"))).cast("int") + 1))
     state = durable(g.vertices.select("id", F.lit(0).alias("value"), F.lit(True).alias("fresh"), *[F.when(slot == k, zeros).otherwise(0).alias(n) for k, n in enumerate(names)]))

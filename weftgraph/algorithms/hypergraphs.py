@@ -127,16 +127,16 @@ def hyper_dependency(hg: Hypergraph, root: int = 0) -> DataFrame:
 
 
 def hyper_pagerank(hg: Hypergraph, max_iters: int = 1, damping: float = DAMPING, entropy: bool = False) -> DataFrame:
-    """(kind, id, score[, entropy]) after a fixed number of rounds vertices to hyperedges to vertices.
+    """(kind, id, score[, entropy]) after a fixed number of rounds vertices to hyperedges to vertices; without a round, hyperedges score 0.
 
     With ``entropy``, hyperedges get the sum over their out-members of p_v / p_h * log2(p_v / p_h).
     """
     h = hg.pinned()
-    nv = h.nv
+    nv = max(h.nv, 1)
     dv = durable(h.vertices.join(h.v2h.groupBy("v").agg(F.count(F.lit(1)).alias("d")), "v", "left").select("v", F.coalesce("d", F.lit(0)).alias("d")))
     dh = durable(h.hyperedges.join(h.h2v.groupBy("h").agg(F.count(F.lit(1)).alias("d")), "h", "left").select("h", F.coalesce("d", F.lit(0)).alias("d")))
-    pv = durable(dv.select("v", "d", F.lit(1.0 / max(nv, 1)).alias("p")))
-    ph = None
+    pv = durable(dv.select("v", "d", F.lit(1.0 / nv).alias("p")))
+    ph = durable(dh.select("h", "d", F.lit(0.0).alias("p")))
     for _ in range(max_iters):
         up = h.v2h.join(pv.where("d > 0").select("v", (F.col("p") / F.col("d")).alias("_p")), "v").groupBy("h").agg(F.sum("_p").alias("_in"))
         discard(ph)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 #: (constant, how it joins the value, how the shifted value joins, shift: left positive, right negative)
-_ROUNDS32 = [(0x7ED55D16, "+", "+", 12), (0xC761C23C, "^", "^", -19), (0x165667B1, "+", "+", 5), (0xD3A2646C, "+", "^", 9), (0xFD7046C5, "+", "+", 3), (0xB55A4F09, "^", "^", -16)]
-_ROUNDS64 = [(0x7ED55D166BEF7A1D, "+", "+", 12), (0xC761C23C510FA2DD, "^", "^", -9), (0x165667B183A9C0E1, "+", "+", 59), (0xD3A2646CAB3487E3, "+", "^", 49), (0xFD7046C5EF9AB54C, "+", "+", 3), (0xB55A4F090DD4A67B, "^", "^", -32)]
+ROUNDS32 = [(0x7ED55D16, "+", "+", 12), (0xC761C23C, "^", "^", -19), (0x165667B1, "+", "+", 5), (0xD3A2646C, "+", "^", 9), (0xFD7046C5, "+", "+", 3), (0xB55A4F09, "^", "^", -16)]
+ROUNDS64 = [(0x7ED55D166BEF7A1D, "+", "+", 12), (0xC761C23C510FA2DD, "^", "^", -9), (0x165667B183A9C0E1, "+", "+", 59), (0xD3A2646CAB3487E3, "+", "^", 49), (0xFD7046C5EF9AB54C, "+", "+", 3), (0xB55A4F090DD4A67B, "^", "^", -32)]
 
 
 def _rounds(x: np.ndarray, table: list, kind) -> np.ndarray:
@@ -25,11 +25,11 @@ def _rounds(x: np.ndarray, table: list, kind) -> np.ndarray:
 
 
 def mix32(x) -> np.ndarray:
-    return _rounds(np.atleast_1d(np.asarray(x)).astype(np.uint32), _ROUNDS32, np.uint32)
+    return _rounds(np.atleast_1d(np.asarray(x)).astype(np.uint32), ROUNDS32, np.uint32)
 
 
 def mix64(x) -> np.ndarray:
-    return _rounds(np.atleast_1d(np.asarray(x)).astype(np.uint64), _ROUNDS64, np.uint64)
+    return _rounds(np.atleast_1d(np.asarray(x)).astype(np.uint64), ROUNDS64, np.uint64)
 
 
 def step64(x) -> np.ndarray:

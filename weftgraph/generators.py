@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from weftgraph.functions.hashing import hash32, mix32, mix64
+from weftgraph.functions.hashing import hash32, hash64_mod, mix32
 from weftgraph.model import Graph, Hypergraph
 
 
@@ -21,20 +21,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def rmat(spark: SparkSession, n: int, m: int | None = None, seed: int = 1, a: float = 0.5, b: float = 0.1, c: float | None = None, symmetric: bool = False) -> Graph:
     """A recursive-matrix graph; n is rounded up to a power of two, m is 10 n by default.
 
-    At every level, an edge's hashed draw chooses one of the quadrants with chances a, b, c and the rest.
+    At every level, an edge's hashed draw chooses one of the quadrants with chances a, b, c
+    (in single precision) and the rest.  An edge's draws start at the mix of twice its number
+    times the mixed seed and go on by a stride of its own, in 32 bits.
     """
     levels = max(0, math.ceil(math.log2(max(n, 1))))
-    n, c = 1 << levels, b if c is None else c
     m = 10 * n if m is None else m
+    n, c = 1 << levels, b if c is None else c
+    a, b, c = (float(np.float32(v)) for v in (a, b, c))
+    h = mix32(seed)[0]
 
     @F.pandas_udf("src long, dst long")
     def place(i: pd.Series) -> pd.DataFrame:
-        x = i.to_numpy().astype(np.uint64)
+        x = i.to_numpy().astype(np.uint32)
+        at, stride = mix32(x * np.uint32(2) * h), mix32((x * np.uint32(2) + np.uint32(1)) * h)
         src, dst = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        for level in range(levels):
-            draw = _unit(mix64(x * np.uint64(max(levels, 1)) + np.uint64(level) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
+        for _ in range(levels):
+            draw = _unit(at)
             src = src * 2 + (draw >= a + b)
             dst = dst * 2 + (((draw >= a) & (draw < a + b)) | (draw >= a + b + c))
+            at = at + stride
         return pd.DataFrame({"src": src, "dst": dst})
 
     edges = spark.range(m).select(place("id").alias("e")).select("e.*")
@@ -42,24 +48,38 @@ def rmat(spark: SparkSession, n: int, m: int | None = None, seed: int = 1, a: fl
     return graph.symmetrize() if symmetric else graph
 
 
-def random_local(spark: SparkSession, n: int, m: int | None = None, dimension: int = 0, seed: int = 1, symmetric: bool = False) -> Graph:
-    """m random edges: uniform for dimension 0, else to neighbours whose distance falls off with the dimension."""
-    m = 10 * n if m is None else m
-    degree = max(1, m // max(n, 1))
+def random_local(spark: SparkSession, n: int, m: int | None = None, dimension: int = 0, symmetric: bool = False) -> Graph:
+    """About m random edges, the same number a vertex: uniform for dimension 0, else to neighbours whose distance falls off with the dimension.
+
+    An edge's chain of 32-bit mixes starts at its number: a mix below one half widens the
+    reach by ``dimension`` bits, the next one gives the distance; self-loops are drawn again.
+    """
+    degree = (10 * n if m is None else m) // max(n, 1)
+    if degree == 0 or n < 2:
+        return Graph(spark.range(n), spark.createDataFrame([], "src long, dst long"), symmetric)
 
     @F.pandas_udf(LongType())
-    def target(i: pd.Series) -> pd.Series:
-        x = i.to_numpy().astype(np.int64)
-        draw = mix64(x.astype(np.uint64) + np.uint64(seed) * np.uint64(0xBF58476D1CE4E5B9))
-        if dimension == 0:
-            return pd.Series((draw % np.uint64(n)).astype(np.int64))
-        unit = draw.astype(np.float64) / float(2**64)
-        reach = np.floor((1.0 - unit * (1 - n ** (-1.0 / dimension))) ** -dimension).astype(np.int64)
-        sign = np.where(mix32(x + seed) & np.uint32(1), 1, -1)
-        return pd.Series((x // degree + sign * np.maximum(reach, 1)) % n)
+    def target(k: pd.Series) -> pd.Series:
+        x = k.to_numpy()
+        own, to = x // degree, np.full(len(x), -1)
+        h, reach, rest = x.astype(np.uint32), np.full(len(x), dimension + 2), np.arange(len(x))
+        while len(rest):
+            h[rest] = mix32(h[rest])
+            if dimension == 0:
+                to[rest] = h[rest] % np.uint32(n)
+                rest = rest[to[rest] == own[rest]]
+                continue
+            wider = rest
+            while len(wider := wider[h[wider] % np.uint32(1000003) < 500001]):
+                reach[wider] += dimension
+                h[wider] = mix32(h[wider])
+            h[rest] = mix32(h[rest])
+            to[rest] = (own[rest] + h[rest].astype(np.int64) % (1 << np.minimum(reach[rest], 62))) % n
+            rest = rest[to[rest] == own[rest]]
+        return pd.Series(to)
 
     edges = spark.range(n * degree).select(F.expr(f"id div {degree}").alias("src"), target("id").alias("dst"))
-    graph = Graph(spark.range(n), edges.where("src <> dst"))
+    graph = Graph(spark.range(n), edges)
     return graph.symmetrize() if symmetric else graph
 
 
@@ -77,10 +97,10 @@ def grid(spark: SparkSession, n: int, dimension: int = 2) -> Graph:
 
 
 def random_hypergraph(spark: SparkSession, nv: int = 100, nh: int | None = None, cardinality: int = 3, seed: int = 0) -> Hypergraph:
-    """nh hyperedges of ``cardinality`` hashed members each, repeats within a hyperedge dropped."""
+    """nh hyperedges of ``cardinality`` members each, the 64-bit mixes of their slots (plus ``seed``) modulo nv; repeats within a hyperedge dropped."""
     nh = 10 * nv if nh is None else nh
     slots = spark.range(nh * cardinality)
-    member = F.pmod(hash32(F.col("id") + F.lit(seed)), F.lit(nv))
+    member = hash64_mod(F.col("id") + F.lit(seed), max(nv, 1))
     pairs = slots.select(member.alias("v"), F.expr(f"id div {cardinality}").alias("h")).distinct()
     return Hypergraph.from_incidence(pairs, spark.range(nv), spark.range(nh))
 

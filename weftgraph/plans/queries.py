@@ -15,6 +15,7 @@ from weftgraph.operators import buckets, edgemap, hyper, sequences
 from weftgraph.sources import codecs, text
 from weftgraph.storage import durable, shared_dir
 
+from . import recursive_sql as rsql
 from .tables import CO45, NN, OP, OP45, PS, big_orders, co45, load, nations, orders_parts, parts_suppliers, supplies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,7 +360,7 @@ def a03(spark, d):
     return components.propagate(co45(spark, d))
 
 
-@query("a04_dependency_co45")
+@query("a04_dependency_co45", rsql.dependency(CO45))
 def a04(spark, d):
     return traversal.dependency(co45(spark, d), 0).select("id", "sigma", F.round("score", 6).alias("score"))
 
@@ -427,7 +428,7 @@ def a11(spark, d, graph=co45):
     return ranking.pagerank(g, max_iters=10).select("id", F.round(F.col("score") * F.lit(float(g.n)), 6).alias("score"))
 
 
-@query("a12_pagerank_delta_co45")
+@query("a12_pagerank_delta_co45", rsql.pagerank_delta(CO45))
 def a12(spark, d):
     g = co45(spark, d)
     return ranking.pagerank_delta(g).select("id", F.round(F.col("score") * F.lit(float(g.n)), 6).alias("score"))
@@ -444,7 +445,7 @@ def a13(spark, d):
     return traversal.bit_radii(co45(spark, d), [r.id for r in co45(spark, d).vertices.orderBy("id").limit(64).collect()])
 
 
-@query("a13_radii_hashed_co45")
+@query("a13_radii_hashed_co45", rsql.radii(CO45))
 def a13h(spark, d):
     return traversal.radii(co45(spark, d))
 
@@ -472,7 +473,7 @@ def k02(spark, d):
     return cores.kcore_peel(co45(spark, d))
 
 
-@query("k04_set_cover_co45")
+@query("k04_set_cover_co45", rsql.set_cover(CO45))
 def k04(spark, d):
     return cores.set_cover(co45(spark, d))
 
@@ -491,12 +492,12 @@ def g01(spark, d, orders=big_orders):
     return hypergraphs.hyper_bfs(orders(spark, d), 0).select("kind", "id", "level")
 
 
-@query("g02_hyper_bpath_op45")
+@query("g02_hyper_bpath_op45", rsql.hyper_bpath(OP45))
 def g02(spark, d, orders=big_orders):
     return hypergraphs.hyper_bpath(orders(spark, d), 0)
 
 
-@query("g03_hyper_dependency_op45")
+@query("g03_hyper_dependency_op45", rsql.hyper_dependency(_HBFS))
 def g03(spark, d, orders=big_orders):
     return hypergraphs.hyper_dependency(orders(spark, d), 0).select("kind", "id", "sigma", F.round("score", 6).alias("score"))
 
@@ -534,12 +535,12 @@ def g06(spark, d):
     return hypergraphs.hyper_pagerank(hg).select("kind", "id", F.round(F.col("score") * F.lit(float(hg.nv)), 6).alias("score"))
 
 
-@query("g07_hyper_independent_set_op45")
+@query("g07_hyper_independent_set_op45", rsql.hyper_independent_set(OP45))
 def g07(spark, d, orders=big_orders):
     return hypergraphs.hyper_independent_set(orders(spark, d))
 
 
-@query("g08_hyper_kcore_op45")
+@query("g08_hyper_kcore_op45", rsql.hyper_kcore(OP45))
 def g08(spark, d, orders=big_orders):
     return hypergraphs.hyper_kcore(orders(spark, d))
 
@@ -566,27 +567,27 @@ def x08(spark, d):
     return eccentricity.bounded(co45(spark, d), per_round=256)
 
 
-for _name, _run in {
-    "x01_eccentricity_kbfs_co45": lambda g: eccentricity.kbfs(g),
-    "x02_eccentricity_one_phase_co45": lambda g: eccentricity.kbfs(g, two_phase=False),
-    "x04_eccentricity_masks_co45": lambda g: eccentricity.sketch(g),
-    "x05_eccentricity_registers_co45": lambda g: eccentricity.registers(g),
-    "x06_eccentricity_near_set_co45": lambda g: eccentricity.near_set_estimate(g),
-    "x07_eccentricity_lower_bounds_co45": lambda g: eccentricity.lower_bounds(g),
-    "x09_eccentricity_two_approximation_co45": lambda g: eccentricity.two_approximation(g),
-}.items():
-    query(_name)(lambda spark, d, run=_run: run(co45(spark, d)))
+for _name, _run, _sql in (
+    ("x01_eccentricity_kbfs_co45", lambda g: eccentricity.kbfs(g), rsql.kbfs(CO45, True)),
+    ("x02_eccentricity_one_phase_co45", lambda g: eccentricity.kbfs(g, two_phase=False), rsql.kbfs(CO45, False)),
+    ("x04_eccentricity_masks_co45", lambda g: eccentricity.sketch(g), rsql.sketch(CO45)),
+    ("x05_eccentricity_registers_co45", lambda g: eccentricity.registers(g), rsql.registers(CO45)),
+    ("x06_eccentricity_near_set_co45", lambda g: eccentricity.near_set_estimate(g), rsql.near_set_estimate(CO45)),
+    ("x07_eccentricity_lower_bounds_co45", lambda g: eccentricity.lower_bounds(g), rsql.lower_bounds(CO45)),
+    ("x09_eccentricity_two_approximation_co45", lambda g: eccentricity.two_approximation(g), rsql.two_approximation(CO45)),
+):
+    query(_name, _sql)(lambda spark, d, run=_run: run(co45(spark, d)))
 
 # ---- local clustering -----------------------------------------------------------------------
 
-for _name, _run in {
-    "l01_nibble_co45": lambda g: clustering.nibble(g, 0),
-    "l02_push_pagerank_optimised_co45": lambda g: clustering.push_pagerank(g, 0, optimised=True),
-    "l03_push_pagerank_co45": lambda g: clustering.push_pagerank(g, 0),
-    "l04_heat_kernel_co45": lambda g: clustering.heat_kernel(g, 0, levels=6),
-    "l05_heat_walks_co45": lambda g: clustering.heat_walks(g, 0, walks=100),
-}.items():
-    query(_name)(lambda spark, d, run=_run: run(co45(spark, d)).select("id", F.round("score", 9).alias("score")))
+for _name, _run, _sql in (
+    ("l01_nibble_co45", lambda g: clustering.nibble(g, 0), rsql.nibble(CO45)),
+    ("l02_push_pagerank_optimised_co45", lambda g: clustering.push_pagerank(g, 0, optimised=True), rsql.push_pagerank(CO45, True)),
+    ("l03_push_pagerank_co45", lambda g: clustering.push_pagerank(g, 0), rsql.push_pagerank(CO45, False)),
+    ("l04_heat_kernel_co45", lambda g: clustering.heat_kernel(g, 0, levels=6), rsql.heat_kernel(CO45, clustering.heat_coefficients(3.0, 6))),
+    ("l05_heat_walks_co45", lambda g: clustering.heat_walks(g, 0, walks=100), rsql.heat_walks(CO45, 100)),
+):
+    query(_name, _sql)(lambda spark, d, run=_run: run(co45(spark, d)).select("id", F.round("score", 9).alias("score")))
 
 
 @query(
@@ -628,7 +629,7 @@ def i03(spark, d):
     return codecs.read_compressed(spark, path).edges.select("src", "dst", F.col("w").cast("long").alias("w"))
 
 
-@query("i05_hyper_adjacency_text", f"WITH {OP45} SELECT DISTINCT v, (SELECT count(DISTINCT j.h) FROM i j WHERE j.h < i.h) AS h FROM i")
+@query("i05_hyper_adjacency_text", f"WITH {OP45} SELECT v, dense_rank() OVER (ORDER BY h) - 1 AS h FROM i")
 def i05(spark, d, orders=big_orders):
     path = _place(spark)
     hg = orders(spark, d)
@@ -694,12 +695,12 @@ def u03(spark, d):
     return co45(spark, d).out_degrees()
 
 
-@query("u04_rmat")
+@query("u04_rmat", rsql.rmat_degrees())
 def u04(spark, d):
     return gen.rmat(spark, load(spark, d, "part").count(), symmetric=True).out_degrees()
 
 
-@query("u05_random_local")
+@query("u05_random_local", rsql.local_degrees())
 def u05(spark, d):
     return gen.random_local(spark, load(spark, d, "part").count(), dimension=2, symmetric=True).out_degrees()
 
@@ -714,17 +715,17 @@ def u06(spark, d):
     return gen.grid(spark, load(spark, d, "part").count(), 2).edges
 
 
-@query("u07_random_hypergraph")
+@query("u07_random_hypergraph", rsql.random_hypergraph())
 def u07(spark, d):
     return gen.random_hypergraph(spark, load(spark, d, "part").count()).v2h
 
 
-@query("u09_add_weights_co45")
+@query("u09_add_weights_co45", rsql.add_weights(CO45))
 def u09(spark, d):
     return gen.add_weights(co45(spark, d)).edges
 
 
-@query("u10_add_hyper_weights_op45")
+@query("u10_add_hyper_weights_op45", rsql.add_hyper_weights(OP45))
 def u10(spark, d, orders=big_orders):
     return gen.add_hyper_weights(orders(spark, d)).v2h
 
@@ -751,7 +752,7 @@ for _name, _from, _run in (
     ("g05_hyper_shortest_paths_op", "g05_hyper_shortest_paths_op45", g05),
     ("g07_hyper_independent_set_op", "g07_hyper_independent_set_op45", g07),
     ("g08_hyper_kcore_op", "g08_hyper_kcore_op45", g08),
-    ("i05_hyper_adjacency_text_op", "", i05),  # its SQL compares each incidence with all others
+    ("i05_hyper_adjacency_text_op", "i05_hyper_adjacency_text", i05),
     ("i09_member_lists_op", "i09_member_lists", i09),
     ("i10_bipartite_list_op", "i10_bipartite_list", i10),
     ("i13_compressed_hypergraph_op", "i13_compressed_hypergraph", i13),
@@ -767,6 +768,6 @@ def a11_ps(spark, d):
     return a11(spark, d, supplies)
 
 
-@query("a06_factorize_ps")
+@query("a06_factorize_ps", rsql.factorize(PS))
 def a06_ps(spark, d):
-    return ranking.factorize(supplies(spark, d)).select("id", F.transform("latent", lambda x: F.round(x, 9)).alias("latent"))
+    return ranking.factorize(supplies(spark, d)).select("id", F.posexplode("latent").alias("coordinate", "x")).withColumn("x", F.round("x", 9))
