@@ -345,6 +345,77 @@ def test_quality_edge_cases(spark, odd):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def brute_words(texts):
+    """Neighbour sums word by word, in plain loops."""
+    out = {}
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        token, _ = quality.tokens(raw, np.array([0, len(raw)]))
+        index = [np.zeros(quality.DIM) for _ in token]
+        for spot, sign in quality.spots(token):
+            for k in range(len(token)):
+                index[k][spot[k]] += sign[k]
+        for k, t in enumerate(token.tolist()):
+            n, v = out.get(t, (0, np.zeros(quality.DIM)))
+            near = [index[j] for j in range(max(0, k - 2), min(len(token), k + 3)) if j != k]
+            out[t] = n + 1, v + (sum(near) if near else 0)
+    return {t: (n, v) for t, (n, v) in out.items() if n >= quality.COUNT}
+
+
+def test_word_vectors_match_brute_force(spark, monkeypatch):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(60)] + ["", None, "1,2;3 4-x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = brute_words(t for t in texts if t)
+    got = {r["word"] % (1 << 64): (r["n"], np.frombuffer(bytes(r["v"]), np.int8)) for r in quality.word_vectors(df).collect()}
+    assert got.keys() == want.keys()
+    for t, (n, v) in got.items():
+        assert n == want[t][0]
+        assert (v == np.rint(127 * want[t][1] / max(np.linalg.norm(want[t][1]), 1e-9))).all()
+    assert quality.word_vectors(df.limit(0)).count() == 0
+
+
+def test_words_beyond_the_broadcast_are_joined(spark, docs):
+    words = quality.word_vectors(docs)
+    one, few = quality.Head(words), quality.Head(words, 100)
+    assert one.tail is None and few.tail is not None and 0 < len(few.word) <= 100
+    a, b = (rows_of(quality.pooled(docs, h, "doc_id long"), "doc_id", "x") for h in (one, few))
+    assert len(a) == docs.count() and a == b
+
+
+def test_long_texts_are_taken_in_pieces():
+    rng = random.Random(32)
+    text = " ".join(rng.choice(("ab", "c1", "d-e", "f" * 300)) for _ in range(2000)).encode()
+    raw, offsets = np.frombuffer(text + b"x y", np.uint8), np.array([0, len(text), len(text) + 3])
+    whole = quality.tokens(raw, offsets)[0]
+    cut = [quality.tokens(p, o)[0] for _, p, o in quality.pieces(raw, offsets, 1000)]
+    assert len(cut) > 50 and (np.concatenate(cut) == whole).all()
+
+
+def test_network_step_matches_brute_force():
+    """One epoch of one batch against Adam on numeric gradients."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(40, 3)), (rng.random(40) < 0.4).astype(float)
+    net = quality.Network(x, y, hidden=2, epochs=1, seed=3)
+    held = np.arange(40) % 5 == 4
+    z = ((x - x.mean(0)) / (x.std(0) + 1e-6))[~held]
+    start = np.random.default_rng(3)
+    w = [start.normal(0, 1 / np.sqrt(3), (3, 2)), np.zeros(2), start.normal(0, 1 / np.sqrt(2), 2), np.zeros(1)]
+
+    def loss(p):
+        out = np.tanh(z @ p[0] + p[1]) @ p[2] + p[3]
+        return np.mean(np.logaddexp(0, out) - y[~held] * out) + 0.5e-4 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    for k in range(4):
+        for at in np.ndindex(w[k].shape):
+            up, down = [v.copy() for v in w], [v.copy() for v in w]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            g = (loss(up) - loss(down)) / 2e-5
+            assert net.weights[k][at] == pytest.approx(w[k][at] - 0.005 * g / (abs(g) + 1e-8), abs=1e-4)
+
+
 def test_language_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -1,35 +1,34 @@
 """Quality scores from random-indexing word vectors and a small network.
 
-Every token has a sparse random index vector.  A token's word vector is the sum of the
-index vectors of its neighbours over the whole corpus (random indexing: one pass, no
-labels).  A document is the pooled mean of its word vectors.  A two-layer numpy network
-on the pooled vectors gives logits whose temperature is calibrated on rows held back from
-its training.
+Every token has a sparse random index vector.  A word's vector is the sum of the index
+vectors of its neighbours over the whole corpus (random indexing: one pass, no labels); each
+word has a vector of its own, in a distributed table that grows with the vocabulary.  A
+document is the pooled mean of its word vectors.  A two-layer numpy network on the pooled
+vectors gives logits whose temperature is calibrated on rows held back from its training.
 """
 
+from __future__ import annotations
+
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .language import sample
-from .textkernel import RangeHash, buffers, chunks, reduceat, runs
-
-VOCAB, DIM = 1 << 14, 48
-#: Random index entries per token, neighbours on each side.
-ENTRIES, WINDOW = 2, 2
-#: Bound on the labelled rows of a fit, and on the length of each.
-SAMPLE, SAMPLE_CHARS = 8000, 50_000
-#: Rows in which the fixed-size table of vectors travels.
-SLICES = 32
-
-_rng = np.random.default_rng(77)
-_SPOT = _rng.integers(0, DIM, (VOCAB, ENTRIES))
-_SIGN = _rng.choice([-1.0, 1.0], (VOCAB, ENTRIES))
+from .common import ARROW_ROWS, durable, prepare
+from .textkernel import CHUNK, U64, buffers, chunks, hash_ranges, reduceat, runs
+
+DIM = 48
+#: Random index entries per token, neighbours on each side, and how often a word must occur to have a vector.
+ENTRIES, WINDOW, COUNT = 2, 2, 3
+#: Bound on the labelled rows of a fit.
+SAMPLE = 8000
+#: Most frequent words that are broadcast (56 bytes each); what is beyond them is joined.
+HEAD = 1 << 19
+#: Words that a task gathers before it hands them on; rows to an Arrow batch of words.
+HELD, WORD_ROWS = 1 << 18, 1 << 14
+
 #: Byte classes: white space 0, letters 1 (non-ASCII bytes too), digits 2, other signs 3.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[*range(9, 14), 32]] = 0
@@ -44,70 +43,261 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    return (RangeHash(raw).of(starts, ends) % np.uint64(VOCAB)).astype(np.int64), np.searchsorted(starts, offsets)
+    return hash_ranges(raw, starts, ends), np.searchsorted(starts, offsets)
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, offsets) of about ``most`` bytes each; a longer text comes in several, cut at white space."""
+    for first, last in chunks(offsets, most):
+        at, stop = int(offsets[first]), int(offsets[last])
+        if stop - at <= 2 * most:
+            yield first, raw[at:stop], offsets[first : last + 1] - at
+            continue
+        while at < stop:
+            end = min(at + most, stop)
+            gaps = np.flatnonzero(_CLASS[raw[at:end]] == 0)
+            if end < stop and len(gaps):
+                end = at + int(gaps[-1]) + 1
+            while end < stop and _CLASS[raw[end - 1]] != 0:  # a run beyond the piece stays whole
+                block = raw[end : min(end + most, stop)]
+                gaps = np.flatnonzero(_CLASS[block] == 0)
+                end += int(gaps[0]) + 1 if len(gaps) else len(block)
+            yield first, raw[at:end], np.array([0, end - at])
+            at = end
+
+
+def spots(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The entries of tokens' index vectors: places and signs."""
+    for e in range(ENTRIES):
+        bits = token >> U64(20 * e + 4)
+        yield ((bits & U64(0xFFFF)) % U64(DIM)).astype(np.int64), np.where((bits >> U64(16)) & U64(1), 1.0, -1.0)
+
+
+def neighbour_sums(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, counts, sums): for each distinct token the sum of its neighbours' index vectors."""
+    word, at, n = np.unique(token, return_inverse=True, return_counts=True)
+    sums = np.zeros(len(word) * DIM)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    entries = list(spots(token))
+    for gap in range(1, WINDOW + 1):
+        same = np.flatnonzero(owner[gap:] == owner[:-gap])
+        for a, b in ((same, same + gap), (same + gap, same)):
+            for spot, sign in entries:
+                sums += np.bincount(at[a] * DIM + spot[b], sign[b], minlength=len(sums))
+    return word, n, np.rint(sums).astype(np.int32).reshape(-1, DIM)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of (words, counts, sums) with equal words added up, in word order."""
+    word, n, sums = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    if not len(first):
+        return word, n, sums
+    return word[first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
-def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Word vectors from neighbour sums over all texts.
+def packed(word: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Words, counts and sums as rows; few small sums travel as (place, value) bytes."""
+    filled = (sums != 0).sum(1)
+    short = (filled <= 32) & (np.abs(sums).max(1, initial=0) < 128)
+    row, place = np.nonzero(sums[short])
+    pairs = np.stack([place.astype(np.uint8), sums[short][row, place].astype(np.int8).view(np.uint8)], axis=1).tobytes()
+    size = np.where(short, 2 * filled, 4 * DIM)
+    ends = np.cumsum(size)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    inside = np.repeat(short, size)
+    data[inside] = np.frombuffer(pairs, np.uint8)
+    data[~inside] = sums[~short].astype("<i4").view(np.uint8).ravel()
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    column = pa.BinaryArray.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), column], ["word", "n", "sums"])
 
-    Each task adds into one table of fixed size; the tables are summed in two levels, so
-    what reaches the driver has the same size for any corpus.
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw, offsets = buffers(batch.column(2))
+    size = np.diff(offsets)
+    sums = np.zeros((batch.num_rows, DIM), np.int32)
+    dense = size == 4 * DIM
+    inside = np.repeat(dense, size)
+    if dense.any():
+        sums[dense] = np.frombuffer(raw[inside].tobytes(), "<i4").reshape(-1, DIM)
+    pairs = raw[~inside].reshape(-1, 2)
+    sums[np.repeat(np.flatnonzero(~dense), size[~dense] // 2), pairs[:, 0]] = pairs[:, 1].view(np.int8)
+    return batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), sums
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n, v): each word of at least COUNT occurrences with its vector of unit length in bytes, stored.
+
+    A task adds up what it meets of each word and hands it on; the parts are added by word.
     """
-    prepare(docs.sparkSession)
-    width = VOCAB // SLICES
+    spark = docs.sparkSession
+    prepare(spark)
 
     def gather(batches):
-        table = np.zeros(VOCAB * DIM)
+        parts, held = [], 0
+        for batch in batches:
+            for _, raw, offsets in pieces(*buffers(batch.column(0))):
+                parts.append(neighbour_sums(*tokens(raw, offsets)))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield packed(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield packed(*merged(parts))
+
+    def add(batches):
+        last = None
         for batch in batches:
-            raw, offsets = buffers(batch.column(0))
-            for first, last in chunks(offsets):
-                local = offsets[first : last + 1] - offsets[first]
-                token, bounds = tokens(raw[offsets[first] : offsets[last]], local)
-                owner = np.repeat(np.arange(last - first), np.diff(bounds))
-                for gap in range(1, WINDOW + 1):
-                    same = owner[gap:] == owner[:-gap]
-                    left, right = token[:-gap][same], token[gap:][same]
-                    for e in range(ENTRIES):
-                        for a, b in ((left, right), (right, left)):
-                            table += np.bincount(a * DIM + _SPOT[b, e], _SIGN[b, e], minlength=VOCAB * DIM)
-        table = np.rint(table).reshape(SLICES, -1)  # whole numbers: any order of sums gives the same
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([row.tobytes() for row in table], pa.binary())], ["slice", "salt", "sums"])
+            if not batch.num_rows:
+                continue
+            word, n, sums = merged([last, unpacked(batch)] if last is not None else [unpacked(batch)])
+            last = word[-1:], n[-1:], sums[-1:]
+            yield vectors(word[:-1], n[:-1], sums[:-1])
+        if last is not None:
+            yield vectors(*last)
+
+    def vectors(word, n, sums):
+        often = n >= COUNT
+        word, n, x = word[often], n[often], sums[often].astype(np.float64)
+        v = np.rint(127 * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array([r.tobytes() for r in v], pa.binary())], ["word", "n", "v"])
+
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gather, "word long, n long, sums binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # batches stay bounded in bytes
+    try:
+        return durable(parts.repartition("word").sortWithinPartitions("word").mapInArrow(add, "word long, n long, v binary"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+class Head:
+    """The most frequent words of a table, at most ``most``, as arrays; ``tail`` is the table of the others, None if there is none."""
+
+    def __init__(self, words: DataFrame, most: int = HEAD):
+        self.tail = None
+        if words.count() > most:
+            # frequencies in eighths of an octave: a few hundred numbers tell from where on the words are few enough
+            step = F.floor(8 * F.log2(F.col("n").cast("double")))
+            found, total = None, 0
+            for r in sorted(words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["s"]):
+                total += r["c"]
+                if total > most:
+                    break
+                found = r["s"]
+            head = F.lit(False) if found is None else step >= found
+            words, self.tail = words.where(head), words.where(~head).select("word", "v")
+        rows = words.select("word", "v").toArrow()
+        word = rows.column("word").to_numpy().view(U64)
+        vectors = np.frombuffer(buffers(rows.column("v"))[0].tobytes(), np.int8).reshape(-1, DIM)
+        order = np.argsort(word)
+        self.word, self.vectors = word[order], vectors[order]
+
+    def __getstate__(self):
+        return {"word": self.word, "vectors": self.vectors}
+
+    def pool(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+        """Per text: sums of word vectors and of index vectors, counts of tokens and of those with a vector; and (text, word, count) of the words not found."""
+        raw, offsets = buffers(column)
+        n = len(offsets) - 1
+        sums, plain, count, known = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        missed = []
+        for first, piece, local in pieces(raw, offsets, CHUNK // 2):
+            token, bounds = tokens(piece, local)
+            rows = slice(first, first + len(local) - 1)
+            size = np.diff(bounds)
+            owner = np.repeat(np.arange(len(size)), size)
+            for spot, sign in spots(token):
+                plain[rows] += np.bincount(owner * DIM + spot, sign, minlength=len(size) * DIM).reshape(-1, DIM)
+            at = np.minimum(np.searchsorted(self.word, token), max(len(self.word) - 1, 0))
+            hit = np.flatnonzero(self.word[at] == token) if len(self.word) else np.zeros(0, np.int64)
+            # whole numbers: any order of sums gives the same
+            inside = np.searchsorted(hit, bounds)
+            sums[rows] += reduceat(np.add, self.vectors[at[hit]].astype(np.int32), inside, 0)
+            count[rows] += size
+            known[rows] += np.diff(inside)
+            lost = np.ones(len(token), bool)
+            lost[hit] = False
+            missed.append((owner[lost] + first, token[lost]))
+        return sums, plain, count, known, missed
+
+
+def _finished(sums: np.ndarray, plain: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Per text: the mean word vector, its length, the mean index vector's length, the log of the token count and the share of tokens with a vector."""
+    n = np.maximum(count, 1)[:, None]
+    mean = sums / n / 127
+    rest = [np.linalg.norm(mean, axis=1), np.linalg.norm(plain / n, axis=1), np.log1p(count) / 10, known / n[:, 0]]
+    return np.concatenate([mean, np.stack(rest, axis=1)], axis=1).astype(np.float32)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def pooled(docs: DataFrame, head: Head, keep: str, text_col: str = "text") -> DataFrame:
+    """The columns of the schema string ``keep`` and ``x``, the pooled features of the whole text (null counts as empty)."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shipped = spark.sparkContext.broadcast(head)  # HEAD words at most
+    names = [c.split()[0] for c in keep.split(", ")]
+    chosen = docs.select(*names, F.col(text_col).alias("_weft_text"))
+
+    def run(batches):
+        for batch in batches:
+            sums, plain, count, known, _ = shipped.value.pool(batch.column(len(names)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(_finished(sums, plain, count, known))], [*names, "x"])
+
+    if head.tail is None:
+        return chosen.mapInArrow(run, f"{keep}, x binary")
+
+    def open_(batches):
+        for batch in batches:
+            sums, plain, count, known, missed = shipped.value.pool(batch.column(len(names)))
+            owner, word = (np.concatenate(c) for c in zip(*missed)) if missed else (np.zeros(0, np.int64), np.zeros(0, U64))
+            order = np.lexsort((word, owner))
+            owner, word = owner[order], word[order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])) if len(word) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(word)))
+            lists = pa.ListArray.from_arrays(np.searchsorted(owner[first], np.arange(len(count) + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(times)], ["word", "c"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(np.concatenate([sums, plain], axis=1)), pa.array(count), pa.array(known), lists], [*names, "s", "count", "known", "missed"])
+
+    def weigh(batches):
+        for batch in batches:
+            v = np.frombuffer(buffers(batch.column(2))[0].tobytes(), np.int8).reshape(-1, DIM).astype(np.int64)
+            c = batch.column(1).to_numpy()
+            row, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            sums = np.zeros((len(row), DIM), np.int64)
+            np.add.at(sums, at, v * c[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(row), _bytes(sums), pa.array(np.bincount(at, c, minlength=len(row)).astype(np.int64))], ["_weft_row", "t", "c"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width * DIM)
+        sums, c = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for value in batch.column("sums"):
-                total += np.frombuffer(value.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "salt", "sums"])
-
-    schema = "slice int, salt int, sums binary"
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gather, schema)
-    parts = parts.groupBy("slice", "salt").applyInArrow(add, schema)
-    rows = parts.groupBy("slice").applyInArrow(add, schema).collect()
-    vectors = np.zeros((VOCAB, DIM))
-    for r in rows:
-        vectors[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["sums"]).reshape(width, DIM)
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Per text: the mean word vector, its length, the mean index vector's length and the log of the token count."""
-    index = np.zeros((VOCAB, DIM), np.float32)
-    for e in range(ENTRIES):
-        index[np.arange(VOCAB), _SPOT[:, e]] += _SIGN[:, e]
-    raw, offsets = buffers(column)
-    out = np.zeros((len(offsets) - 1, DIM + 3), np.float32)
-    for first, last in chunks(offsets, 1 << 20):
-        token, bounds = tokens(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        n = np.maximum(np.diff(bounds), 1)[:, None]
-        mean = reduceat(np.add, vectors[token], bounds, 0) / n
-        plain = reduceat(np.add, index[token], bounds, 0) / n
-        out[first:last, :DIM] = mean
-        out[first:last, DIM] = np.linalg.norm(mean, axis=1)
-        out[first:last, DIM + 1] = np.linalg.norm(plain, axis=1)
-        out[first:last, DIM + 2] = np.log1p(np.diff(bounds)) / 10
-    return out
+            sums += np.frombuffer(buffers(batch.column("t"))[0].tobytes(), np.int64).reshape(-1, DIM).sum(0)
+            c += int(batch.column("c").to_numpy().sum())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([c], pa.int64())], ["_weft_row", "t", "c"])
+
+    def close(batches):
+        for batch in batches:
+            get = dict(zip(batch.schema.names, batch.columns))
+            both = np.frombuffer(buffers(get["s"])[0].tobytes(), np.float64).reshape(-1, 2 * DIM)
+            more = np.zeros((batch.num_rows, DIM))
+            some = np.flatnonzero(get["t"].is_valid().to_numpy(zero_copy_only=False))
+            more[some] = np.frombuffer(buffers(get["t"])[0].tobytes(), np.int64).reshape(-1, DIM)
+            known = get["known"].to_numpy() + get["c"].fill_null(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(get[c] for c in names), _bytes(_finished(both[:, :DIM] + more, both[:, DIM:], get["count"].to_numpy(), known))], [*names, "x"])
+
+    # the vocabulary is beyond what is broadcast: the rarer words of a document are joined, once per document
+    base = durable(chosen.mapInArrow(open_, f"{keep}, s binary, count long, known long, missed array<struct<word: long, c: long>>").withColumn("_weft_row", F.monotonically_increasing_id()))
+    pairs = base.select("_weft_row", F.explode("missed").alias("m")).select("_weft_row", F.col("m.c").alias("c"), F.col("m.word").alias("word"))
+    weighed = pairs.join(head.tail, "word").select("_weft_row", "c", "v").mapInArrow(weigh, "_weft_row long, t binary, c long")
+    extra = weighed.groupBy("_weft_row").applyInArrow(add, "_weft_row long, t binary, c long")
+    return base.drop("missed").join(extra, "_weft_row", "left").mapInArrow(close, f"{keep}, x binary")
 
 
 class Network:
@@ -154,31 +344,38 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained: F.Column, most: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors over all of ``docs`` and a network on a bounded sample of the labelled rows that ``trained`` admits.
+def fit(docs: DataFrame, labels: DataFrame, trained: F.Column, most: int = SAMPLE, head: int = HEAD) -> tuple[Head, Network]:
+    """Word vectors over all of ``docs`` and a network on at most ``most`` of the labelled rows that ``trained`` admits, chosen by a hash.
 
-    ``labels`` has doc_id and ``quality``; null labels and ids are left out, repeated ids count once
-    with their largest label.
+    ``labels`` has doc_id and ``quality``; null labels and ids are left out, repeated ids count
+    once with their largest label; each row of ``docs`` under a labelled id is one row of the
+    sample, whole texts of any length.  What reaches the driver is the head of the word table
+    and the features of the sample.  Empty tables give a model that scores 0.5.
     """
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = sample(marks, trained, most)
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("_id"), "text")
-    # the sample's size is bounded by ``most``, whatever the tables hold
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
-    vectors = corpus_vectors(docs)
-    x = pooled(pa.array(rows["text"], pa.string()), vectors) if len(rows) else np.zeros((0, DIM + 3), np.float32)
-    return vectors, Network(x.astype(float), rows["quality"].to_numpy(float))
+    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(trained)
+    n = marks.count()
+    share = int(min(1.0, most / max(n, 1)) * (1 << 30))
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share).select(F.col("doc_id").alias("_id"), "quality")
+    # about ``most`` ids, whatever the tables hold; rows that share one are bounded once they are features
+    texts = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    words = Head(word_vectors(docs), head)
+    found = pooled(texts, words, "doc_id long, quality int").withColumn("_draw", F.xxhash64("doc_id", "x")).orderBy("_draw", "doc_id", "x").limit(most)
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), DIM + 4)
+    return words, Network(x.astype(float), np.array([r["quality"] for r in rows], float))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each whole text; null counts as empty.  Null ids and repeated rows stay."""
-    prepare(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # VOCAB x DIM floats, a fixed size
+def score(docs: DataFrame, model: tuple[Head, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for each whole text of any length; null counts as empty.
+
+    Null ids, ties and repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    """
+    head, network = model
 
     def run(batches):
-        vectors, network = shipped.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(pooled(batch.column(1), vectors)), pa.float64())], ["doc_id", "score"])
+            x = np.frombuffer(buffers(batch.column(1))[0].tobytes(), np.float32).reshape(-1, DIM + 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(x.astype(float)), pa.float64())], ["doc_id", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, score double")
+    return pooled(chosen, head, "doc_id long").mapInArrow(run, "doc_id long, score double")
