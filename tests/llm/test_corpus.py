@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from weftgraph.llm import bpe, fingerprints, language, mixing, mtree, quality, queries, sharding, simhash_forest, suffix_dedup, token_counts  # noqa: E402
+from weftgraph.llm import bpe, fingerprints, language, mixing, mtree, quality, queries, sharding, simhash_forest, suffix_dedup, textkernel, token_counts  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -830,13 +830,70 @@ def test_pipeline_on_odd_rows(spark, odd):
 
     from weftgraph.llm.common import durable
 
-    for start in (odd, odd.limit(0)):
-        table = start
-        for _, stage in corpus_pipeline.STAGES:
-            table = durable(stage(spark, table, SF))
+    table, ids = odd, {}
+    for name, stage in corpus_pipeline.STAGES:
+        table = durable(stage(spark, table, SF))
+        ids[name] = sorted((r.doc_id for r in table.select("doc_id").collect()), key=repr)
+        if name == "language_id":  # null texts and texts without a letter go, the null language is told
+            assert set(ids[name]) <= {1, None, 4, 5, 7, 8, 10, 11} and {1, 4, 5} <= set(ids[name])
+            assert table.where("lang is null or text is null").isEmpty() and table.columns == odd.columns
+            told = table
+        if name == "simhash_near_dedup":  # 5 repeats 4; 8, 11 and the null id are near 1
+            assert ids[name] == sorted(set(ids["language_id"]) - {5, 8, 11, None}, key=repr)
+        if name == "suffix_array_dedup":
+            assert ids[name] == ids["simhash_near_dedup"] and table.columns == odd.columns
+            before = {r.doc_id: r.text for r in told.collect()}
+            assert all(r.text == before[r.doc_id] for r in table.collect() if r.doc_id in (1, 7))
+            cut = table
+        if name == "source_mix":
+            assert set(ids[name]) <= set(ids["suffix_array_dedup"]) and table.columns == odd.columns
+            mixed = table
+    for r in table.collect():
+        assert r.decoded in {x.text for x in cut.where("text is not null").collect()}
+    assert len(ids["bpe_round_trip"]) == mixed.count()
+    table = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        table = durable(stage(spark, table, SF))
     assert table.count() == 0
 
 
+def test_language_stage_rejects_what_every_family_turns_away(spark):
+    rng = random.Random(41)
+    en, de = "the of and to in that is was for with".split(), "der die und das nicht ist ein zu den mit".split()
+    rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(30)), "en" if i % 2 else "fr") for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, "the and of the was", None), (901, "\u0436\u0449\u044b \u044d\u044e\u044f " * 20, None)], "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    # one machine's weights are turned so that it refuses the Cyrillic text
+    x = language.features(pa.array([df.where("doc_id = 901").first().text]))
+    model.top = model.top - 10 * np.append(x[0] / max(float(x[0] @ x[0]), 1e-9), 0.0)[None].astype(np.float32)
+    kept = {r.doc_id: r.lang for r in language.known_languages(df, model).collect()}
+    assert 901 not in kept and kept[900] == "en" and len(kept) == 201
+
+
+@pytest.mark.parametrize("text", ["x" * 9_000_000, "ab " * 3_000_000], ids=["one run", "short words"])
+def test_very_long_texts(text):
+    """Kernels of the operators on a text far above the sizes that they work on at once, against short equals."""
+    column = pa.array([text, "abc abc"], pa.large_string())
+    raw, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    assert language.features(column).shape == (2, language.FEATURES)
+    word, first = textkernel.words(raw, offsets)
+    short, _ = textkernel.words(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))
+    assert first[-1] == len(word) and (word == short[0]).all() == (text[0] == "a")
+    assert sum(len(piece) for _, piece, _ in quality.pieces(raw, offsets)) == len(text)
+    assert simhash_forest.simhash(raw, offsets)[1].tolist() == [1]  # all its shingles are equal
+    assert len(fingerprints.sign([text])) == 1
+    assert len(suffix_dedup.minimisers(raw, offsets)[0]) > 0
+    if text[0] == "a":
+        assert token_counts.Counter(BPE)([text])[0] > 0
+
+
+def test_ranges_longer_than_the_tables():
+    rng = np.random.default_rng(44)
+    raw = rng.integers(0, 256, 5000, dtype=np.uint8)
+    starts, ends = np.array([0, 10, 700, 4000]), np.array([4999, 60, 2700, 4100])
+    assert (textkernel.hash_ranges(raw, starts, ends, 128) == textkernel.hash_ranges(raw, starts, ends)).all()
+
+
 def test_queries_with_sql(spark):
     import duckdb
 

@@ -7,21 +7,21 @@ are hashed byte 1- to 4-grams of the lower-cased whole text.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .textkernel import U64, buffers, chunks
+from .textkernel import STEP, buffers
 
 FEATURES = 1 << 13
-#: Bound on the labelled texts a model is fitted on, and on the length of each.
-SAMPLE, SAMPLE_CHARS = 6000, 50_000
+#: Bound on the labelled texts a model is fitted on.
+SAMPLE = 6000
 UNKNOWN = "und"
 
 _FAMILIES = {
@@ -43,23 +43,25 @@ def family_of(lang: str) -> str:
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """Unit-length rows of square-rooted n-gram counts."""
+    """Unit-length rows of square-rooted n-gram counts; texts of any length are taken a piece of bytes at a time."""
     raw, offsets = buffers(pc.utf8_lower(column.cast(pa.large_string())))
-    n = len(offsets) - 1
-    out = np.zeros((n, FEATURES), np.float32)
-    for first, last in chunks(offsets, 1 << 20):
-        piece = raw[offsets[first] : offsets[last]]
-        local = offsets[first : last + 1] - offsets[first]
-        left = np.repeat(local[1:], np.diff(local)) - np.arange(len(piece))  # bytes to the text's end
-        owner = np.repeat(np.arange(last - first), np.diff(local)) * FEATURES
+    out = np.zeros((len(offsets) - 1, FEATURES), np.float32)
+    for at in range(0, len(raw), STEP):
+        stop = min(at + STEP, len(raw))
+        piece = raw[at : stop + 3]  # grams may end in the next piece
+        first, last = np.searchsorted(offsets, [at, stop - 1], "right") - 1
+        ends = np.minimum(offsets[first + 1 : last + 2], stop)
+        sizes = np.diff(np.concatenate([[at], ends]))
+        left = np.repeat(offsets[first + 1 : last + 2], sizes) - np.arange(at, stop)  # bytes to the text's end
+        owner = np.repeat(np.arange(last - first + 1), sizes) * FEATURES
         gram = np.zeros(len(piece), np.uint32)
-        counts = np.zeros((last - first) * FEATURES, np.float32)
+        counts = np.zeros((last - first + 1) * FEATURES, np.float32)
         for size in range(1, 5):
             gram[: len(piece) - size + 1] = (gram[: len(piece) - size + 1] * np.uint32(0x01000193)) ^ piece[size - 1 :]
-            ok = left >= size
+            ok = np.flatnonzero(left >= size)
             bucket = ((gram[ok] * np.uint32(0x9E3779B1)) >> np.uint32(33 - FEATURES.bit_length())).astype(np.int64)
             counts += np.bincount(owner[ok] + bucket, minlength=len(counts)).astype(np.float32)
-        out[first:last] = counts.reshape(-1, FEATURES)
+        out[first : last + 1] += counts.reshape(-1, FEATURES)
     np.sqrt(out, out=out)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     out /= np.maximum(norm, 1e-9)
@@ -113,13 +115,14 @@ class Model:
             for a, b in combinations(members, 2):
                 self.pairs[f, a, b] = fit_svm(x, np.where(langs == a, 1.0, np.where(langs == b, -1.0, 0.0)))
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language, score): the score is the family's share of confidence times the pairwise mean."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, margin): the score is the family's share of confidence times the pairwise mean, the margin its machine's side: negative if every family turns the text away."""
         n = len(x)
         if not self.families:
-            return np.full(n, UNKNOWN, object), np.zeros(n)
+            return np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, -1.0)
         squash = lambda z: 1 / (1 + np.exp(-np.clip(2 * z, -30, 30)))
-        top = squash(x @ self.top[:, :-1].T + self.top[:, -1])
+        margins = x @ self.top[:, :-1].T + self.top[:, -1]
+        top = squash(margins)
         best, share = top.argmax(1), top.max(1) / top.sum(1)
         lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
         for k, f in enumerate(self.families):
@@ -140,15 +143,7 @@ class Model:
             lang[rows] = np.array(members, object)[win]
             sure = trust[np.arange(len(rows)), win] / rounds if len(members) > 1 else 1.0
             score[rows] = np.clip(share[rows] * sure, 0, 1)
-        return lang, score
-
-
-def sample(docs: DataFrame, keep: F.Column, most: int, seed: int = 11) -> DataFrame:
-    """About ``most`` of the rows that pass ``keep``, chosen by a hash of the id: a fixed bound, the same in a rerun."""
-    rows = docs.where(keep)
-    n = rows.count()
-    share = int(min(1.0, most / max(n, 1)) * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share)
+        return lang, score, margins.max(1)
 
 
 def sample_languages(docs: DataFrame, keep: F.Column, most: int, seed: int = 11) -> DataFrame:
@@ -170,24 +165,39 @@ def sample_languages(docs: DataFrame, keep: F.Column, most: int, seed: int = 11)
     return drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= level).drop("_draw", "_share", "_rank")
 
 
-def fit(docs: DataFrame, trained: F.Column, most: int = SAMPLE) -> Model:
-    """Fit on a bounded sample, drawn per language, of the rows of (doc_id, text, lang) that ``trained`` admits.
+def fit(docs: DataFrame, trained: F.Column, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on a bounded sample of at most ``most`` rows, drawn per language, of the rows that ``trained`` admits.
 
-    Texts without words, null languages and texts beyond ``SAMPLE_CHARS`` (a bound of the
-    fit alone) are left out.
+    Texts without words and null languages are left out; texts of any length train whole.
+    Their features are formed where the texts are: what reaches the driver is at most
+    ``most`` rows of 16 KB, compressed.  An empty table gives a model without a language.
     """
-    keep = trained & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("\\S")
-    rows = sample_languages(docs.select("doc_id", "text", "lang"), keep, most).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
-    x = np.zeros((len(rows), FEATURES), np.float16)  # half the driver's memory; widened batch by batch
-    for at in range(0, len(rows), 256):
-        x[at : at + 256] = features(pa.array(rows["text"].iloc[at : at + 256], pa.string()))
-    return Model(x, list(rows["lang"]))
+    prepare(docs.sparkSession)
+    keep = trained & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\S")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = [zlib.compress(r.tobytes(), 1) for r in features(part.column(1)).astype(np.float16)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
+
+    rows = docs.where(keep).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    drawn = sample_languages(rows, F.lit(True), most).select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, x binary").collect()
+    drawn.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
+    x = np.zeros((len(drawn), FEATURES), np.float16)  # widened batch by batch
+    langs = [r["lang"] for r in drawn]
+    for k in range(len(drawn)):
+        x[k] = np.frombuffer(zlib.decompress(bytes(drawn[k]["x"])), np.float16)
+        drawn[k] = None
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each whole text; ``und`` with score 0 for null texts and texts without a letter.
 
-    Null ids and repeated rows stay; an empty table gives an empty result.
+    Null ids, ties and repeated rows stay; texts of any length are read whole; other columns
+    are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of weights
@@ -198,7 +208,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score = [], []
             for at in range(0, batch.num_rows, 256):
                 part = texts.slice(at, 256)
-                names, values = shipped.value.predict(features(part.fill_null("")))
+                names, values, _ = shipped.value.predict(features(part.fill_null("")))
                 none = ~has_letter(part)
                 names[none], values[none] = UNKNOWN, 0.0
                 lang += list(names)
@@ -209,8 +219,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def known_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language the model can tell: those it finds ``und`` go.  All columns stay."""
+def known_languages(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language the model tells; a null ``lang_col`` becomes the prediction.
+
+    A row goes if its text is null or has no letter, or if the model turns it away: every
+    family's machine puts it on the other side of its margin.  All columns stay, whatever their
+    names; null ids, ties and repeated rows stay; an empty table, or a model without a
+    language, gives an empty result.
+    """
     prepare(docs.sparkSession)
     if not model.families:
         return docs.where(F.lit(False))
@@ -218,13 +234,16 @@ def known_languages(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        at = names.index("text")
+        text, lang = names.index(text_col), names.index(lang_col)
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            keep, found = np.zeros(batch.num_rows, bool), []
             for k in range(0, batch.num_rows, 256):
-                part = batch.column(at).slice(k, 256)
-                lang, _ = shipped.value.predict(features(part.fill_null("")))
-                keep[k : k + 256] = (lang != UNKNOWN) & has_letter(part)
-            yield batch.filter(pa.array(keep))
+                part = batch.column(text).slice(k, 256)
+                told, _, margin = shipped.value.predict(features(part.fill_null("")))
+                keep[k : k + 256] = (margin >= 0) & has_letter(part)
+                found += list(told)
+            columns = list(batch.columns)
+            columns[lang] = pc.coalesce(columns[lang], pa.array(found, columns[lang].type))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
