@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import scalar_codecs
 from pyspark.sql import functions as F
 
 from weftgraph.model import Graph, Hypergraph
@@ -72,11 +74,82 @@ def test_codecs(kind, weighted):
         weights = [rng.randint(-500, 500) for _ in members] if weighted else None
         code = codecs.encode(owner, members, kind, weights)
         assert codecs.decode(owner, code, len(members), kind, weighted) == (members, weights or [])
+        assert code == scalar_codecs.encode(owner, members, kind, weights)
+        assert scalar_codecs.decode(owner, code, len(members), kind, weighted) == (members, weights or [])
     assert codecs.encode(5, [4, 6, 300], "byte") == bytes([0x41, 2, 0xA6, 2])
     with pytest.raises(ValueError):
         codecs.encode(0, [1], "other")
 
 
+@pytest.mark.parametrize("kind", codecs.KINDS)
+@pytest.mark.parametrize("weighted", [False, True])
+def test_many_lists_at_once(kind, weighted):
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 10 ** rng.integers(1, 9), rng.choice([0, 0, 1, 3, 70, 300]))) for _ in range(200)]
+    owners, degrees = rng.integers(0, 10**6, 200), np.array([len(v) for v in lists])
+    members = np.concatenate(lists)
+    weights = rng.integers(-(10**6), 10**6, len(members)) if weighted else None
+    data, offsets = codecs.encode_lists(owners, degrees, members, kind, weights)
+    at = np.concatenate([[0], np.cumsum(degrees)])
+    for k in range(200):
+        own = None if weights is None else weights[at[k] : at[k + 1]].tolist()
+        assert data[offsets[k] : offsets[k + 1]].tobytes() == scalar_codecs.encode(int(owners[k]), lists[k].tolist(), kind, own)
+    got, w = codecs.decode_lists(owners, degrees, data, offsets, kind, weighted)
+    assert (got == members).all() and (weights is None or (w == weights).all())
+
+
+@pytest.mark.parametrize("kind", codecs.KINDS)
+def test_compressed_file_round_trip(spark, graph, tmp_path, kind):
+    codecs.write_compressed_file(graph, str(tmp_path / "c"), kind)
+    back = codecs.read_compressed_file(spark, str(tmp_path / "c"), kind, weighted=True)
+    assert back.n == graph.n and rows(back.edges, "src", "dst", "w") == rows(graph.edges.where("src <> dst"), "src", "dst", "w")
+
+
+def test_lists_go_on_over_batches(spark):
+    edges = [(v, u) for v in (0, 3, 4) for u in range(5, 2500) if u % (v + 1) == 0]
+    g = Graph(spark.range(2500), spark.createDataFrame(edges, "src long, dst long"), False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        coded = codecs.compress(g, "run")
+        assert coded.where("degree > 0").count() == 3
+        assert rows(codecs.decompress(coded, "run"), "src", "dst") == sorted(edges)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_binary_hypergraph(spark, tmp_path, weighted):
+    pairs = [(0, 0, 4), (1, 0, 4), (1, 1, -7), (2, 1, -7), (5, 1, -7)]
+    table = spark.createDataFrame(pairs, "v long, h long, w int")
+    hg = Hypergraph.from_incidence(table if weighted else table.drop("w"), spark.range(6))
+    codecs.write_hyper_binary(hg, str(tmp_path / "h"))
+    assert (tmp_path / "h.config").read_text() == "6 5 2 5" and (tmp_path / "h.vidx").stat().st_size == 24
+    back = codecs.read_hyper_binary(spark, str(tmp_path / "h"), weighted)
+    names = ["v", "h", "w"] if weighted else ["v", "h"]
+    assert rows(back.v2h, *names) == rows(hg.v2h, *names) == rows(back.h2v, *names) and (back.nv, back.nh) == (6, 2)
+
+
+def test_conversions_from_the_command_line(spark, tmp_path):
+    from weftgraph import cli
+
+    (tmp_path / "e").write_text("# snap\n0 1\n1 2\n3 4\n")
+    cli.convert(spark, "edges", "adjacency", str(tmp_path / "e"), str(tmp_path / "a"), symmetric=True)
+    cli.convert(spark, "adjacency", "binary", str(tmp_path / "a"), str(tmp_path / "b"), symmetric=True)
+    cli.convert(spark, "binary", "compressed-file", str(tmp_path / "b"), str(tmp_path / "c"), symmetric=True)
+    back = codecs.read_compressed_file(spark, str(tmp_path / "c"), "run")
+    assert rows(back.edges, "src", "dst") == [(0, 1), (1, 0), (1, 2), (2, 1), (3, 4), (4, 3)]
+    (tmp_path / "m").write_text("7 9\n9 12 7\n")
+    cli.convert(spark, "members", "hyper-adjacency", str(tmp_path / "m"), str(tmp_path / "ha"))
+    cli.convert(spark, "hyper-adjacency", "hyper-binary", str(tmp_path / "ha"), str(tmp_path / "hb"), symmetric=True)
+    assert rows(codecs.read_hyper_binary(spark, str(tmp_path / "hb")).v2h, "v", "h") == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 1)]
+    cli.convert(spark, "members", "clique", str(tmp_path / "m"), str(tmp_path / "q"))
+    assert text.read_adjacency(spark, str(tmp_path / "q")).m == 8
+    cli.convert(spark, "members", "mesh", str(tmp_path / "m"), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv")).count() == 5
+    with pytest.raises(ValueError):
+        cli.convert(spark, "edges", "mesh", str(tmp_path / "e"), str(tmp_path / "x"))
+
+
 @pytest.mark.parametrize("kind", codecs.KINDS)
 def test_compressed_table(spark, graph, tmp_path, kind):
     codecs.write_compressed(graph, str(tmp_path / kind), kind)

@@ -20,13 +20,14 @@ def propagate(graph: Graph, shortcut: bool = False) -> DataFrame:
     while True:
         heard = g.edges.join(state.where("fresh").select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_new"))
         step = state.join(heard, "id", "left").select("id", F.least("label", "_new").alias("label"), F.col("label").alias("_old"))
+        plain = None
         if shortcut:
-            jump = step.select(F.col("id").alias("label"), F.col("label").alias("_root"))
-            step = durable(step)
+            plain = step = durable(step)
             jump = step.select(F.col("id").alias("_at"), F.col("label").alias("_root"))
             step = step.join(jump, F.col("label") == F.col("_at")).select("id", F.least("label", "_root").alias("label"), "_old")
         following = durable(step.select("id", "label", (F.col("label") < F.col("_old")).alias("fresh")))
         discard(state)
+        discard(plain)
         state = following
         if state.where("fresh").isEmpty():
             return state.select("id", "label")

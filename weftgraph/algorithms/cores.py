@@ -17,12 +17,14 @@ def kcore(graph: Graph) -> DataFrame:
     """
     g = graph.pinned()
     state = durable(g.out_degrees().select("id", F.col("degree").cast("int").alias("value"), F.lit(True).alias("fresh")))
-    by = Window.partitionBy("id").orderBy(F.desc("c"))
+    # a hub's neighbours are counted by their value first: a window holds one row for each value, not for each neighbour
+    by = Window.partitionBy("id").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
         heard = g.edges.select("src", F.col("dst").alias("id")).join(state.select(F.col("id").alias("src"), F.col("value").alias("c")), "src")
         # only vertices next to a change can change
         touched = g.edges.join(state.where("fresh").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        heights = heard.join(touched, "id", "left_semi").withColumn("_k", F.row_number().over(by)).groupBy("id").agg(F.max(F.least("_k", "c")).alias("_h"))
+        counts = heard.join(touched, "id", "left_semi").groupBy("id", "c").agg(F.count(F.lit(1)).alias("_m"))
+        heights = counts.withColumn("_k", F.sum("_m").over(by).cast("int")).groupBy("id").agg(F.max(F.least("_k", "c")).alias("_h"))
         following = durable(state.join(heights, "id", "left").select("id", F.least("value", F.coalesce("_h", "value")).alias("value"), F.coalesce(F.col("_h") < F.col("value"), F.lit(False)).alias("fresh")))
         discard(state)
         state = following

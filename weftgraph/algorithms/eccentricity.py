@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.model import Graph
+from weftgraph.operators.sequences import running
 from weftgraph.storage import discard, durable
 
 from .components import components
@@ -106,15 +107,7 @@ def exact(graph: Graph, words: int = 8) -> DataFrame:
 
 def _numbered(g: Graph) -> DataFrame:
     """(id, k): vertices numbered in id order."""
-    ranged = durable(g.vertices.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()))
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted(ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
-    shift, total = [], 0
-    for p, c in counts:
-        shift.append((p, total))
-        total += c
-    shifts = g.spark.createDataFrame(shift, "p long, s long")  # one row per partition
-    return ranged.withColumn("p", part).join(F.broadcast(shifts), "p").select("id", (row + F.col("s")).alias("k"))
+    return running(g.vertices, [F.col("id")]).select("id", (F.col("n") - 1).alias("k"))
 
 
 def sketch(graph: Graph, counters: int = 1, seed: int = 1) -> DataFrame:

@@ -5,33 +5,59 @@ A sequence is a DataFrame with an order; nothing here needs one task for all row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.storage import durable
 
 
 def running(df: DataFrame, order: list, sums: list[str] = (), number: str = "n") -> DataFrame:
-    """Row numbers from 1 in ``order`` and inclusive running sums ``<c>_sum``, in two levels: within sorted ranges, then over range totals."""
+    """Row numbers from 1 in ``order`` and inclusive running sums ``<c>_sum`` (nulls count as 0).
+
+    Two levels: rows are numbered and summed within sorted ranges as they are written, then
+    shifted by the totals of the ranges before.  The rows move once.
+    """
     spark = df.sparkSession
     sums = list(sums)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    types = ["double" if kinds[c] in ("double", "float") else "long" for c in sums]
+    # the place in a range: the lower bits of the number that Spark gives to the rows of a partition
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    if sums:
+        summed = [F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(f"{c}_sum") for c, t in zip(sums, types)]
+        placed = placed.select("*", *summed)
+        names = placed.columns
+
+        def add(batches):
+            before = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = list(batch.columns)
+                totals = []
+                for k, c in enumerate(sums):
+                    at = names.index(f"{c}_sum")
+                    run = np.cumsum(columns[at].to_numpy()) + (before[k] if before else 0)
+                    columns[at] = pa.array(run, columns[at].type)
+                    totals.append(run[-1])
+                before = totals
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        placed = placed.mapInArrow(add, placed.schema)
     kept = durable(placed).withColumn("_p", F.shiftright("_at", 33))
-    per = sorted(kept.groupBy("_p").agg(F.count(F.lit(1)), *[F.sum(c) for c in sums]).collect(), key=lambda r: r[0])
+    # running sums end with the row that comes last in a range
+    per = sorted(kept.groupBy("_p").agg(F.count(F.lit(1)), *[F.max_by(f"{c}_sum", "_at") for c in sums]).collect(), key=lambda r: r[0])
     before, totals = [], [0] * (1 + len(sums))
     for row in per:
-        before.append((row[0], *totals))
+        before.append((row[0], *(float(v) if t == "double" else v for v, t in zip(totals, ["long", *types]))))
         totals = [a + (b or 0) for a, b in zip(totals, row[1:])]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = ["_n0", *[f"_b_{c}" for c in sums]]
-    types = ["long", *["double" if kinds[c] in ("double", "float") else "long" for c in sums]]
-    before = [(p, *[float(v) if t == "double" else v for v, t in zip(vs, types)]) for p, *vs in before]
-    shifts = spark.createDataFrame(before, "_p long, " + ", ".join(f"{n} {t}" for n, t in zip(names, types)))  # one row per partition
-    by = Window.partitionBy("_p").orderBy("_at")
-    run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = kept.join(F.broadcast(shifts), "_p").withColumn(number, F.row_number().over(by) + F.col("_n0"))
+    shifts = spark.createDataFrame(before, "_p long, " + ", ".join(f"{n} {t}" for n, t in zip(names, ["long", *types])))  # one row per partition
+    out = kept.join(F.broadcast(shifts), "_p").withColumn(number, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("_n0"))
     for c in sums:
-        out = out.withColumn(f"{c}_sum", F.sum(c).over(run) + F.col(f"_b_{c}"))
+        out = out.withColumn(f"{c}_sum", F.col(f"{c}_sum") + F.col(f"_b_{c}"))
     return out.drop("_at", "_p", *names)
 
 
