@@ -32,3 +32,14 @@ def update_buckets(buckets: DataFrame, moves: DataFrame) -> DataFrame:
     """Move each id of ``moves`` (id, bkt) to its new bucket; null takes it out."""
     new = moves.select("id", F.col("bkt").alias("_to"), F.lit(True).alias("_moved"))
     return buckets.join(new, "id", "left").select("id", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("bkt")).alias("bkt"))
+
+
+def changed_buckets(buckets: DataFrame, moves: DataFrame) -> DataFrame:
+    """The moves (id, bkt) that put an id in another bucket than it is in; the others needn't be made."""
+    old = buckets.select("id", F.col("bkt").alias("_was"))
+    return moves.join(old, "id").where(~F.col("bkt").eqNullSafe(F.col("_was"))).select("id", "bkt")
+
+
+def open_range(buckets: DataFrame, low: int, width: int = 128) -> DataFrame:
+    """(id, slot): the buckets from ``low`` on as slots 0 to ``width`` - 1, and ``width`` for all that lie beyond."""
+    return buckets.where(F.col("bkt") >= low).select("id", F.least(F.col("bkt") - low, F.lit(width)).alias("slot"))

@@ -742,6 +742,132 @@ def u14(spark, d, orders=big_orders):
     return spark.read.schema("h long, v long").csv(path)
 
 
+# ---- more forms of the operators above --------------------------------------------------------
+
+
+@query("b03_changed_buckets", "SELECT p_partkey AS id, CAST((p_size + 3) // 5 AS BIGINT) AS bkt FROM part WHERE (p_size + 3) // 5 <> p_size // 5")
+def b03(spark, d):
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return buckets.changed_buckets(buckets.make_buckets(part, "p_size div 5"), buckets.make_buckets(part, "(p_size + 3) div 5"))
+
+
+@query("b05_open_range", "SELECT p_partkey AS id, CAST(least(p_size - 10, 16) AS BIGINT) AS slot FROM part WHERE p_size >= 10")
+def b05(spark, d):
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return buckets.open_range(buckets.make_buckets(part, "p_size"), 10, 16)
+
+
+@query("p13_functions", "SELECT CAST(sum(l_suppkey) AS BIGINT) AS added, min(l_suppkey) AS least, max(l_suppkey) AS greatest, count(*) FILTER (WHERE l_suppkey <> 7) AS others FROM lineitem")
+def p13(spark, d):
+    items = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("x"))
+    named = {"added": sequences.reduce(items, "x", "sum"), "least": sequences.reduce(items, "x", "min"), "greatest": sequences.reduce(items, "x", "max"), "others": sequences.map_reduce(sequences.pack(items, "x <> 7"), "1", "sum")}
+    out = None
+    for name, one in named.items():
+        one = one.withColumnRenamed("value", name)
+        out = one if out is None else out.join(F.broadcast(one))  # one row each
+    return out
+
+
+@query("p12_hash64", f"SELECT p_partkey AS id, CASE WHEN x >= 9223372036854775808 THEN CAST(CAST(x AS HUGEINT) - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(x AS BIGINT) END AS h FROM (SELECT p_partkey, {rsql.mix64('p_partkey')} AS x FROM part)")
+def p12b(spark, d):
+    from weftgraph.functions.hashing import hash64
+
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), hash64("p_partkey").alias("h"))
+
+
+@query("x00_component_sizes_co45", _CC.replace("SELECT id, label FROM cc", "SELECT id, label, count(*) OVER (PARTITION BY label) AS size FROM cc"))
+def x00(spark, d):
+    return eccentricity.labelled(co45(spark, d))
+
+
+query("k03_kcore_serial_co45", _CORE)(lambda spark, d: cores.kcore_peel(co45(spark, d)))
+query("g09_hyper_kcore_efficient_op45", rsql.hyper_kcore(OP45))(lambda spark, d: hypergraphs.hyper_kcore(big_orders(spark, d)))
+
+
+@query("g11_bipartite_lists_op", f"WITH {OP} SELECT 'v' AS kind, p_partkey AS id, coalesce(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h), '') AS lists FROM part LEFT JOIN i ON v = p_partkey GROUP BY 2 UNION ALL SELECT 'h', h, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM i GROUP BY h")
+def g11(spark, d):
+    # the out-lists of the vertices and the in-lists of the hyperedges
+    shown = F.when(F.col("kind") == "v", F.col("outgoing")).otherwise(F.col("incoming"))
+    return hypergraphs.incidence_lists(orders_parts(spark, d)).select("kind", "id", F.array_join(F.transform(shown, lambda x: x.cast("string")), ",").alias("lists"))
+
+
+@query(
+    "g01_hyper_bfs_parents_op45",
+    _HBFS + """, b(id, lvl) USING KEY (id) AS (SELECT CAST(0 AS BIGINT), 0 UNION
+ SELECT e.v, min(b.lvl) + 1 FROM b JOIN e ON e.u = b.id LEFT JOIN recurring.b r ON r.id = e.v WHERE r.id IS NULL GROUP BY e.v),
+ p AS (SELECT y.id, min(x.id) AS parent FROM b y JOIN e ON e.v = y.id JOIN b x ON x.id = e.u AND x.lvl = y.lvl - 1 GROUP BY y.id)
+ SELECT CASE WHEN n.id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN n.id < base THEN n.id ELSE n.id - base END AS id,
+  CASE WHEN n.id = 0 THEN 0 WHEN parent >= base THEN parent - base ELSE parent END AS parent FROM n CROSS JOIN m LEFT JOIN p ON p.id = n.id""",
+)
+def g01p(spark, d):
+    return hypergraphs.hyper_bfs(big_orders(spark, d), 0).select("kind", "id", "parent")
+
+
+@query("i02_binary_graph", _EDGES)
+def i02(spark, d):
+    path = _place(spark)
+    codecs.write_binary(co45(spark, d), path)
+    return codecs.read_binary(spark, path, True).edges.select("src", "dst", F.col("w").cast("long").alias("w"))
+
+
+for _kind in codecs.KINDS:
+
+    @query(f"i12_compressed_file_{_kind}", _EDGES)
+    def i12(spark, d, kind=_kind):
+        path = _place(spark)
+        codecs.write_compressed_file(co45(spark, d), path, kind)
+        return codecs.read_compressed_file(spark, path, kind, weighted=True).edges.select("src", "dst", F.col("w").cast("long").alias("w"))
+
+
+@query("i05_hyper_binary", ORACLES["i05_hyper_adjacency_text"])
+def i05b(spark, d):
+    from weftgraph.model import Hypergraph
+
+    path = _place(spark)
+    hg = big_orders(spark, d)
+    codecs.write_hyper_binary(Hypergraph.from_incidence(durable(text._compact(hg.v2h.select("v", "h"), "h")), hg.vertices), path)
+    return codecs.read_hyper_binary(spark, path).v2h.select("v", "h")
+
+
+@query("i18_value_lines", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line, CASE WHEN p_size > 40 THEN -1 ELSE p_size END AS value FROM part")
+def i18(spark, d):
+    path = _place(spark)
+    eccentricity.write_values(load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("value")), path)
+    found = sequences.running(text.lines(spark, path).select("n", "value"), [F.col("n")], [], "line")
+    return found.select((F.col("line") - 1).alias("line"), F.col("value").cast("int").alias("value"))
+
+
+@query("u08_edges_to_adjacency", f"WITH {CO45} SELECT u AS src, v AS dst FROM e")
+def u08(spark, d):
+    from weftgraph.cli import convert
+
+    lines, path = _place(spark), _place(spark)
+    co45(spark, d).edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(lines)
+    convert(spark, "edges", "adjacency", lines, path, symmetric=True)
+    return text.read_adjacency(spark, path, True).edges.select("src", "dst")
+
+
+@query("u11_adjacency_to_binary", f"WITH {CO45} SELECT u AS src, v AS dst FROM e")
+def u11(spark, d):
+    from weftgraph.cli import convert
+
+    adjacency, path = _place(spark), _place(spark)
+    g = co45(spark, d)
+    text.write_adjacency(Graph(g.vertices, g.edges.select("src", "dst"), True), adjacency)
+    convert(spark, "adjacency", "binary", adjacency, path, symmetric=True)
+    return codecs.read_binary(spark, path).edges.select("src", "dst")
+
+
+@query("u12_bipartite_to_adjacency", ORACLES["i10_bipartite_list"])
+def u12(spark, d):
+    from weftgraph.cli import convert
+
+    lines, path = _place(spark), _place(spark)
+    big_orders(spark, d).v2h.select(F.concat_ws(" ", "v", "h").alias("value")).write.text(lines)
+    convert(spark, "bipartite", "hyper-adjacency", lines, path)
+    return text.read_hyper_adjacency(spark, path, True).v2h.select("v", "h")
+
+
 # ---- the same operators over whole tables ---------------------------------------------------
 
 for _name, _from, _run in (
