@@ -362,7 +362,7 @@ def a03(spark, d):
 
 @query("a04_dependency_co45", rsql.dependency(CO45))
 def a04(spark, d):
-    return traversal.dependency(co45(spark, d), 0).select("id", "sigma", F.round("score", 6).alias("score"))
+    return traversal.dependency(co45(spark, d), 0).select("id", "sigma", F.round(F.col("score") + rsql.OFF_6, 6).alias("score"))
 
 
 _SSSP = f"""WITH RECURSIVE {CO45}, s(id, d) USING KEY (id) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION
@@ -499,7 +499,7 @@ def g02(spark, d, orders=big_orders):
 
 @query("g03_hyper_dependency_op45", rsql.hyper_dependency(_HBFS))
 def g03(spark, d, orders=big_orders):
-    return hypergraphs.hyper_dependency(orders(spark, d), 0).select("kind", "id", "sigma", F.round("score", 6).alias("score"))
+    return hypergraphs.hyper_dependency(orders(spark, d), 0).select("kind", "id", "sigma", F.round(F.col("score") + rsql.OFF_6, 6).alias("score"))
 
 
 @query(
@@ -587,7 +587,7 @@ for _name, _run, _sql in (
     ("l04_heat_kernel_co45", lambda g: clustering.heat_kernel(g, 0, levels=6), rsql.heat_kernel(CO45, clustering.heat_coefficients(3.0, 6))),
     ("l05_heat_walks_co45", lambda g: clustering.heat_walks(g, 0, walks=100), rsql.heat_walks(CO45, 100)),
 ):
-    query(_name, _sql)(lambda spark, d, run=_run: run(co45(spark, d)).select("id", F.round("score", 9).alias("score")))
+    query(_name, _sql)(lambda spark, d, run=_run: run(co45(spark, d)).select("id", F.round(F.col("score") + rsql.OFF_9, 9).alias("score")))
 
 
 @query(

@@ -12,6 +12,8 @@ import math
 from weftgraph.functions.hashing import ROUNDS32, ROUNDS64
 
 _FULL = "18446744073709551616::UHUGEINT"
+#: Added before rounding: scores are often fractions that lie on a tie of the last digit, where the order of sums would decide.
+OFF_9, OFF_6 = 1.2345e-10, 1.2345e-7
 
 
 def _let(expr: str, body: str) -> str:
@@ -62,7 +64,7 @@ def dependency(base: str) -> str:
  d(lvl, id, sigma, score) AS (SELECT lvl, id, sigma, 0.0::DOUBLE FROM g WHERE lvl = (SELECT max(lvl) FROM g) UNION ALL
  SELECT x.lvl, x.id, x.sigma, x.sigma * coalesce(sum((1 + d.score) / d.sigma), 0) FROM (SELECT DISTINCT lvl - 1 AS l FROM d) q JOIN g x ON x.lvl = q.l
  LEFT JOIN e ON e.u = x.id LEFT JOIN d ON d.id = e.v GROUP BY x.lvl, x.id, x.sigma)
- SELECT n.id, d.sigma, round(d.score, 6) AS score FROM n LEFT JOIN d ON d.id = n.id"""
+ SELECT n.id, d.sigma, round(d.score + {OFF_6}::DOUBLE, 6) AS score FROM n LEFT JOIN d ON d.id = n.id"""
 
 
 def hyper_dependency(base: str) -> str:
@@ -74,7 +76,7 @@ def hyper_dependency(base: str) -> str:
  d(lvl, id, sigma, score) AS (SELECT lvl, id, sigma, CASE WHEN lvl % 2 = 0 AND lvl > 0 THEN 1.0::DOUBLE ELSE 0.0 END FROM g WHERE lvl = (SELECT max(lvl) FROM g) UNION ALL
  SELECT x.lvl, x.id, x.sigma, CASE WHEN x.lvl % 2 = 1 THEN coalesce(sum(d.score / d.sigma), 0) ELSE (CASE WHEN x.lvl > 0 THEN 1 ELSE 0 END) + x.sigma * coalesce(sum(d.score), 0) END
  FROM (SELECT DISTINCT lvl - 1 AS l FROM d) q JOIN g x ON x.lvl = q.l LEFT JOIN e ON e.u = x.id LEFT JOIN d ON d.id = e.v GROUP BY x.lvl, x.id, x.sigma)
- SELECT CASE WHEN n.id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN n.id < base THEN n.id ELSE n.id - base END AS id, d.sigma, round(d.score, 6) AS score
+ SELECT CASE WHEN n.id < base THEN 'v' ELSE 'h' END AS kind, CASE WHEN n.id < base THEN n.id ELSE n.id - base END AS id, d.sigma, round(d.score + {OFF_6}::DOUBLE, 6) AS score
  FROM n CROSS JOIN m LEFT JOIN d ON d.id = n.id"""
 
 
@@ -234,7 +236,7 @@ def near_set_estimate(base: str) -> str:
 
 # ---- local clustering -----------------------------------------------------------------------
 
-_SCORES = "id, round(score, 9) AS score"
+_SCORES = f"id, round(score + {OFF_9}::DOUBLE, 9) AS score"
 _DEG = "g AS (SELECT u, CAST(count(*) AS DOUBLE) AS d FROM e GROUP BY u)"
 
 
@@ -255,7 +257,7 @@ def push_pagerank(base: str, optimised: bool, alpha: float = 0.15, epsilon: floa
   SELECT s.k, s.id, CASE WHEN {act} THEN s.p + {take!r}::DOUBLE * s.r ELSE s.p END AS p, CASE WHEN {act} THEN {keep!r}::DOUBLE * s.r ELSE s.r END AS r FROM s LEFT JOIN g ON g.u = s.id
   UNION ALL SELECT s.k, e.v, 0.0, sum({give!r}::DOUBLE * s.r / g.d) FROM s JOIN g ON g.u = s.id JOIN e ON e.u = s.id WHERE {act} GROUP BY s.k, e.v)
  WHERE (SELECT count(*) FROM s JOIN g ON g.u = s.id WHERE {act}) > 0 GROUP BY k, id)
- SELECT id, round(p, 9) AS score FROM s WHERE k = (SELECT max(k) FROM s) AND p > 0"""
+ SELECT id, round(p + {OFF_9}::DOUBLE, 9) AS score FROM s WHERE k = (SELECT max(k) FROM s) AND p > 0"""
 
 
 def heat_kernel(base: str, psi: list[float], t: float = 3.0, epsilon: float = 1e-9) -> str:
@@ -268,7 +270,7 @@ def heat_kernel(base: str, psi: list[float], t: float = 3.0, epsilon: float = 1e
         share = "x / d" if j + 1 == levels else f"{t / (j + 1)!r}::DOUBLE * x / d"
         ctes.append(f"r{j + 1} AS (SELECT e.v AS id, sum({share}) AS x FROM a{j} JOIN e ON e.u = a{j}.id GROUP BY e.v)")
     every = " UNION ALL ".join([f"SELECT id, x FROM a{j}" for j in range(levels)] + [f"SELECT id, x FROM r{levels}"])
-    return "WITH " + ", ".join(ctes) + f" SELECT id, round(sum(x), 9) AS score FROM ({every}) GROUP BY id"
+    return "WITH " + ", ".join(ctes) + f" SELECT id, round(sum(x) + {OFF_9}::DOUBLE, 9) AS score FROM ({every}) GROUP BY id"
 
 
 def heat_walks(base: str, walks: int, longest: int = 10, t: float = 3.0, seed: int = 1) -> str:
@@ -282,7 +284,7 @@ def heat_walks(base: str, walks: int, longest: int = 10, t: float = 3.0, seed: i
     return f"""WITH RECURSIVE {base}, l AS (SELECT u, list(v ORDER BY v) AS tos, count(*) AS c FROM e GROUP BY u),
  s(k, walk, here, length) AS (SELECT 0, walk, CAST(0 AS BIGINT), {length} FROM (SELECT range AS walk, ({step64(f"range + {seed * 1_000_003}")} % 1073741824) / 1073741824.0::DOUBLE AS u FROM range({walks})) UNION ALL
  SELECT k + 1, walk, CASE WHEN length > k AND c IS NOT NULL THEN tos[CAST(({signed} % c + c) % c AS BIGINT) + 1] ELSE here END, length FROM s LEFT JOIN l ON l.u = s.here WHERE k < {longest})
- SELECT here AS id, round(count(*) / {float(walks)!r}::DOUBLE, 9) AS score FROM s WHERE k = {longest} GROUP BY here"""
+ SELECT here AS id, round(count(*) / {float(walks)!r}::DOUBLE + {OFF_9}::DOUBLE, 9) AS score FROM s WHERE k = {longest} GROUP BY here"""
 
 
 # ---- generators -----------------------------------------------------------------------------
