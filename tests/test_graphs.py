@@ -1,6 +1,7 @@
 """Graph algorithms against brute force on small graphs, fixed examples and cross-checks."""
 
 import heapq
+import math
 import random
 from collections import deque
 
@@ -261,6 +262,47 @@ def test_empty_graph(spark):
     assert values(ranking.pagerank(one, max_iters=3), "score")[0] == pytest.approx(0.15)
     assert values(cores.kcore(one)) == {0: 0} and values(cores.maximal_independent_set(one), "in_set") == {0: True}
     assert values(components.components(one), "label") == {0: 0}
+    assert ranking.pagerank(empty).count() == 0 and ranking.pagerank_delta(empty).count() == 0
+    hollow = Hypergraph.from_incidence(spark.createDataFrame([], "v long, h long"))
+    assert hypergraphs.hyper_pagerank(hollow).count() == 0
+    some = Hypergraph.from_incidence(spark.createDataFrame([(0, 0), (1, 0)], "v long, h long"))
+    assert {(r.kind, r.id): r.score for r in hypergraphs.hyper_pagerank(some, max_iters=0).collect()} == {("v", 0): 0.5, ("v", 1): 0.5, ("h", 0): 0.0}
+
+
+def test_heat_thresholds_are_the_sums():
+    from math import factorial as f
+
+    for levels in (1, 2, 6):
+        want = [sum(f(k) * 3.0**m / f(m + k) for m in range(levels - k)) for k in range(levels)]
+        assert clustering.heat_coefficients(3.0, levels) == pytest.approx(want)
+
+
+def test_heat_kernel_matches_brute_force(spark, graph, plain):
+    levels, t, epsilon = 5, 3.0, 1e-4
+    psi, r, x = clustering.heat_coefficients(t, levels), {0: 1.0}, {}
+    for j in range(levels):
+        bound = math.exp(t) * epsilon / (2 * levels * psi[j])
+        active = {v: a for v, a in r.items() if plain[v] and (j == 0 or a >= len(plain[v]) * bound)}
+        r = {}
+        for v, a in active.items():
+            x[v] = x.get(v, 0) + a
+            for u in plain[v]:
+                r[u] = r.get(u, 0) + (a / len(plain[v]) if j + 1 == levels else t / (j + 1) * a / len(plain[v]))
+    for v, a in r.items():
+        x[v] = x.get(v, 0) + a
+    got = values(clustering.heat_kernel(graph, 0, t, epsilon, levels), "score")
+    assert got.keys() == x.keys() and all(got[v] == pytest.approx(a) for v, a in x.items())
+
+
+def test_hyper_entropy_matches_brute_force(spark):
+    pairs = [(0, 0), (1, 0), (1, 1), (2, 1), (3, 1), (0, 2), (3, 2)]
+    hg = Hypergraph.from_incidence(spark.createDataFrame(pairs, "v long, h long"))
+    rows = hypergraphs.hyper_pagerank(hg, entropy=True).collect()
+    score = {(r.kind, r.id): r.score for r in rows}
+    for r in rows:
+        if r.kind == "h":
+            parts = [score["v", v] / r.score for v, h in pairs if h == r.id]
+            assert r.entropy == pytest.approx(sum(p * math.log2(p) for p in parts))
 
 
 def test_frontier_operators(spark, graph, plain):
