@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 from .token_counts import PIECE
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -76,7 +77,8 @@ class TrieBPE:
         self.suffixes = {t[k:]: self.reachable.get(t[k:], -1) for t in vocab for k in range(len(t))}
         self.longer = {(self.reachable[t[:-1]], t[-1]): i for t, i in self.reachable.items() if t[:-1] in self.reachable}
         self.joined: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.form = "H" if len(self.sizes) <= 1 << 16 else "I"
+        self.words: dict[str, bytes] = {}  # ids as packed numbers: a tuple of them takes several times the memory
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes is just these two tokens: undo the later merge, step by step."""
@@ -149,7 +151,8 @@ class TrieBPE:
         cut = list(map(pretokens, new))
         distinct = list(set(chain.from_iterable(cut)))
         get = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]))).__getitem__
-        self.words.update((piece, get(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(get, ws)))) for piece, ws in zip(new, cut))
+        form = self.form
+        self.words.update((piece, array(form, get(ws[0]) if len(ws) == 1 else chain.from_iterable(map(get, ws))).tobytes()) for piece, ws in zip(new, cut))
 
     def plain(self, text: str) -> list[str]:
         return PIECE.findall(text)
@@ -183,7 +186,9 @@ class TrieBPE:
                 if isinstance(x, int):
                     ids.append(x)
                 else:
-                    ids.extend(chain.from_iterable(map(get, x)))
+                    got = array(self.form)
+                    got.frombytes(b"".join(map(get, x)))
+                    ids.extend(got)
             out.append(ids)
         for piece in long:
             del self.words[piece]
@@ -242,4 +247,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f[2]) for c, f in zip(rows, fields[1:]))], [f[0] for f in fields])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
+    return chosen.mapInArrow(trimmed(run), ", ".join(f"{n} {t}" for n, t, _ in fields))

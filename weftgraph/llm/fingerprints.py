@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, prepare
+from .common import LAST, prepare, trimmed
 from .textkernel import CHUNK, U64, buffers, hash_ranges, mix, shingles, words
 
 SAMPLES = 48
@@ -133,7 +133,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             got = sign([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(">u2").tobytes().hex() for s in got], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, fingerprint string")
 
 
 def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,4 +245,4 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         done, held = part, None
                 k = end
 
-    return rows.repartition(F.col("task")).sortWithinPartitions("part", "extra", "place", "tie").select("doc_id", "text", "part", "extra").mapInArrow(run, schema)
+    return rows.repartition(F.col("task")).sortWithinPartitions("part", "extra", "place", "tie").select("doc_id", "text", "part", "extra").mapInArrow(trimmed(run), schema)

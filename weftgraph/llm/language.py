@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 from .textkernel import STEP, buffers
 
 FEATURES = 1 << 13
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, trained: F.Column, most: int = SAMPLE, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
     rows = docs.where(keep).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    drawn = sample_languages(rows, F.lit(True), most).select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, x binary").collect()
+    drawn = sample_languages(rows, F.lit(True), most).select("doc_id", "text", "lang").mapInArrow(trimmed(run), "doc_id long, lang string, x binary").collect()
     drawn.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
     x = np.zeros((len(drawn), FEATURES), np.float16)  # widened batch by batch
     langs = [r["lang"] for r in drawn]
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return chosen.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def known_languages(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -246,4 +246,4 @@ def known_languages(docs: DataFrame, model: Model, text_col: str = "text", lang_
             columns[lang] = pc.coalesce(columns[lang], pa.array(found, columns[lang].type))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

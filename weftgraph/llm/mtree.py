@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, prepare
+from .common import durable, prepare, trimmed
 from .textkernel import reduceat
 
 SCALE = 256
@@ -164,7 +164,7 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             out = [whole[a:b].tobytes() for a, b in zip(ends[:-1][good], ends[1:][good])]
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array(out, pa.binary()), pa.array(squares[good])], ["vec_id", "v", "square"])
 
-    return table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(run, "vec_id long, v binary, square double")
+    return table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(trimmed(run), "vec_id long, v binary, square double")
 
 
 def _stack(values: list[bytes], width: int | None = None) -> np.ndarray:
@@ -257,7 +257,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector
                 near = gaps.argmin(1) if gaps.shape[1] else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(near.astype(np.int32)), pa.array(gaps[np.arange(len(x)), near])], ["vec_id", "v", "row", "pivot", "gap"])
 
-    held = durable(vectors.select("vec_id", "v", "square", "row").mapInArrow(assign, "vec_id long, v binary, row long, pivot int, gap double"))
+    held = durable(vectors.select("vec_id", "v", "square", "row").mapInArrow(trimmed(assign), "vec_id long, v binary, row long, pivot int, gap double"))
     spans = {r.pivot: r for r in held.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).collect()}
     blocks = [-(-spans[p].n // block) if p in spans else 0 for p in range(len(root.points))]
     first = np.concatenate([[0], np.cumsum(blocks)]).astype(int).tolist()
@@ -291,7 +291,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector
     asked_type = pa.struct([("row", pa.int64()), ("id", pa.int64()), ("low", pa.float64()), ("v", pa.binary())])
     asked_schema = "array<struct<row: long, id: long, low: double, v: binary>>"
     firsts, lasts = (F.array(*[F.lit(int(v)) for v in values]) if len(root.points) else F.array(F.lit(0)) for values in (first[:-1], [b - 1 for b in first[1:]]))
-    packed = vectors.where(is_query).select("vec_id", "v", "row").mapInArrow(pack, f"pivot int, queries {asked_schema}")
+    packed = vectors.where(is_query).select("vec_id", "v", "row").mapInArrow(trimmed(pack), f"pivot int, queries {asked_schema}")
     asked = packed.select(F.explode(F.sequence(F.element_at(firsts, F.col("pivot") + 1), F.element_at(lasts, F.col("pivot") + 1))).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("v"), "queries")
     # row numbers, not ids, spread a pivot's vectors over its blocks: no value can make a block large
     sizes = F.array(*[F.lit(max(1, int(b))) for b in blocks]) if blocks else F.array(F.lit(1))
@@ -320,6 +320,6 @@ def top_k(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["query", "query_id", "vec_id", "score"])
 
     met = stored.unionByName(asked).repartition(F.col("block")).sortWithinPartitions("block", "kind")
-    pairs = met.mapInArrow(search, "query long, query_id long, vec_id long, score long")
+    pairs = met.mapInArrow(trimmed(search), "query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

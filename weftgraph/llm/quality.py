@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, durable, prepare
+from .common import ARROW_ROWS, durable, prepare, trimmed
 from .textkernel import CHUNK, U64, buffers, chunks, hash_ranges, reduceat, runs
 
 DIM = 48
@@ -168,10 +168,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
         v = np.rint(127 * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.int8)
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array([r.tobytes() for r in v], pa.binary())], ["word", "n", "v"])
 
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gather, "word long, n long, sums binary")
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(gather), "word long, n long, sums binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # batches stay bounded in bytes
     try:
-        return durable(parts.repartition("word").sortWithinPartitions("word").mapInArrow(add, "word long, n long, v binary"))
+        return durable(parts.repartition("word").sortWithinPartitions("word").mapInArrow(trimmed(add), "word long, n long, v binary"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -253,7 +253,7 @@ def pooled(docs: DataFrame, head: Head, keep: str, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(_finished(sums, plain, count, known))], [*names, "x"])
 
     if head.tail is None:
-        return chosen.mapInArrow(run, f"{keep}, x binary")
+        return chosen.mapInArrow(trimmed(run), f"{keep}, x binary")
 
     def open_(batches):
         for batch in batches:
@@ -293,11 +293,11 @@ def pooled(docs: DataFrame, head: Head, keep: str, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*(get[c] for c in names), _bytes(_finished(both[:, :DIM] + more, both[:, DIM:], get["count"].to_numpy(), known))], [*names, "x"])
 
     # the vocabulary is beyond what is broadcast: the rarer words of a document are joined, once per document
-    base = durable(chosen.mapInArrow(open_, f"{keep}, s binary, count long, known long, missed array<struct<word: long, c: long>>").withColumn("_weft_row", F.monotonically_increasing_id()))
+    base = durable(chosen.mapInArrow(trimmed(open_), f"{keep}, s binary, count long, known long, missed array<struct<word: long, c: long>>").withColumn("_weft_row", F.monotonically_increasing_id()))
     pairs = base.select("_weft_row", F.explode("missed").alias("m")).select("_weft_row", F.col("m.c").alias("c"), F.col("m.word").alias("word"))
-    weighed = pairs.join(head.tail, "word").select("_weft_row", "c", "v").mapInArrow(weigh, "_weft_row long, t binary, c long")
+    weighed = pairs.join(head.tail, "word").select("_weft_row", "c", "v").mapInArrow(trimmed(weigh), "_weft_row long, t binary, c long")
     extra = weighed.groupBy("_weft_row").applyInArrow(add, "_weft_row long, t binary, c long")
-    return base.drop("missed").join(extra, "_weft_row", "left").mapInArrow(close, f"{keep}, x binary")
+    return base.drop("missed").join(extra, "_weft_row", "left").mapInArrow(trimmed(close), f"{keep}, x binary")
 
 
 class Network:
@@ -378,4 +378,4 @@ def score(docs: DataFrame, model: tuple[Head, Network], id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(x.astype(float)), pa.float64())], ["doc_id", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pooled(chosen, head, "doc_id long").mapInArrow(run, "doc_id long, score double")
+    return pooled(chosen, head, "doc_id long").mapInArrow(trimmed(run), "doc_id long, score double")

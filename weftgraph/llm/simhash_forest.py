@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.stars import star_components
 
-from .common import LAST, durable, prepare
+from .common import LAST, durable, prepare, trimmed
 from .textkernel import U64, buffers, chunks, mix, reduceat, shingles, words
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sims, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "key", "sim", "n"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("key"))
-    return chosen.mapInArrow(run, "doc_id long, key binary, sim binary, n long")
+    return chosen.mapInArrow(trimmed(run), "doc_id long, key binary, sim binary, n long")
 
 
 def forest_shape(n: int, recall: float = RECALL, bucket: int = BUCKET, agree: float = AGREE, deeper: int = 0) -> tuple[int, int]:
@@ -181,8 +181,8 @@ def neighbours(reps: DataFrame, tries: int = TRIES, reach: int = REACH) -> DataF
             some = np.flatnonzero(best < 1 << 30)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(to[some]), pa.array(best[some])], ["a", "b", "far"])
 
-    planted = reps.select("node", "sim", "n").mapInArrow(plant, "trie int, code long, node long, s0 long, s1 long, n long")
-    walked = planted.repartitionByRange("trie", "code", "node").sortWithinPartitions("trie", "code", "node").mapInArrow(walk, "a long, b long, far long")
+    planted = reps.select("node", "sim", "n").mapInArrow(trimmed(plant), "trie int, code long, node long, s0 long, s1 long, n long")
+    walked = planted.repartitionByRange("trie", "code", "node").sortWithinPartitions("trie", "code", "node").mapInArrow(trimmed(walk), "a long, b long, far long")
     best = walked.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
     return best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
 
@@ -216,7 +216,7 @@ def dense_places(reps: DataFrame, order: np.ndarray, depth: int, tries: int, mos
         if size:
             yield flush(held)
 
-    counts = reps.select("sim", "n").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    counts = reps.select("sim", "n").mapInArrow(trimmed(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     rows = sorted((r["place"], r["n"]) for r in counts.collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
@@ -316,8 +316,8 @@ def compared(reps: DataFrame, n: int, recall: float, bucket: int, deeper: int, l
         if held:
             yield flush()
 
-    planted = reps.select("node", "sim", "n", "label").mapInArrow(plant, ", ".join(f"{c} long" for c in names))
-    return planted.repartition("place", "share").sortWithinPartitions("place", "share", "label", "node").mapInArrow(meet, "a long, b long").distinct()
+    planted = reps.select("node", "sim", "n", "label").mapInArrow(trimmed(plant), ", ".join(f"{c} long" for c in names))
+    return planted.repartition("place", "share").sortWithinPartitions("place", "share", "label", "node").mapInArrow(trimmed(meet), "a long, b long").distinct()
 
 
 def candidates(reps: DataFrame, n: int, recall: float = RECALL, bucket: int = BUCKET, most: int = MOST, levels: int = LEVELS) -> DataFrame:
@@ -358,7 +358,7 @@ def verify(docs: DataFrame, pairs: DataFrame, keys: DataFrame, id_col: str, text
 
     left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def text_classes(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, similarity: float, recall: float, bucket: int) -> DataFrame:

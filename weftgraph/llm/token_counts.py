@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A cut before white space after other text, and inside white space where byte-level pre-tokenizers cut it.
@@ -117,4 +117,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return chosen.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return chosen.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long")
