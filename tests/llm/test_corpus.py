@@ -225,6 +225,27 @@ def test_trie_on_random_texts():
     assert [trie.decode(w) for w in want] == [lib.decode(w, skip_special_tokens=False) for w in want]
 
 
+def test_a_coder_stays_small_over_many_words():
+    rng = random.Random(5)
+    groups = [[" ".join("".join(rng.choice("aeinorst") for _ in range(9)) for _ in range(500)) + " the end" for _ in range(80)] for _ in range(6)]
+    lib, trie = library(), bpe.TrieBPE(BPE)
+    for texts in groups:
+        assert trie.encode_batch(texts) == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    # 240,000 words: those of the last groups stay, of 40,000 each, and what is met again
+    assert len(trie.words) < 120_000 and " the" in trie.words
+
+
+def test_idle_workers_keep_no_coder(spark, docs):
+    def kept(batches):
+        from weftgraph.llm import bpe as module
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(module._CODERS)] * batch.num_rows, pa.int64())], ["n"])
+
+    bpe.encode(docs, BPE).collect()
+    assert spark.range(0, 64, 1, 8).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_counts_with_the_other_vocabulary_kinds():
     import sentencepiece
     from tokenizers import Tokenizer

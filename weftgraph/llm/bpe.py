@@ -15,6 +15,7 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,8 +27,10 @@ from .token_counts import PIECE
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for pieces of ASCII alone, where the standard engine's classes agree.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Entries of a worker's memory of pieces, and the longest piece that it keeps: both bound its bytes.
-MEMORY, KEPT = 500_000, 48
+#: Entries beyond which a worker's memory of pieces keeps only those met again, and the longest piece that it keeps: both bound its bytes.
+MEMORY, KEPT = 1 << 16, 48
+#: Pairs of tokens whose fit is remembered; characters whose distinct words make one trie; ids handed on, and spread out, at once.
+PAIRS, GROUP, ROWS, SPREAD = 1 << 17, 1 << 21, 1 << 18, 1 << 16
 
 
 def pretokens(piece: str) -> list[str]:
@@ -48,6 +51,49 @@ def _byte_names() -> dict[str, int]:
     return names
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _table(entries: list[bytes], form: str = "B") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries' numbers in one run, with their places and sizes."""
+    flat = np.frombuffer(b"".join(entries), form)
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // flat.itemsize
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
+def spread(ids: np.ndarray, bounds: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that a table has for a run of ids, one after another, and ``bounds`` of the run as places among them."""
+    flat, starts, sizes = table
+    blocks, sums, total = [flat[:0]], [np.zeros(1, np.int64)], 0
+    for at in range(0, len(ids), SPREAD):
+        part = ids[at : at + SPREAD]
+        size = sizes[part]
+        ends = np.cumsum(size)
+        blocks.append(flat[np.repeat(starts[part] - (ends - size), size) + np.arange(ends[-1])])
+        sums.append(ends + total)
+        total += int(ends[-1])
+    return np.concatenate(blocks), np.concatenate(sums)[bounds]
+
+
+def _strings(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Byte runs as strings; what isn't UTF-8 is replaced."""
+    data = raw.tobytes()
+    inner = bounds[bounds < len(raw)]
+    try:
+        data.decode()
+        whole = not len(inner) or not ((raw[inner] & 0xC0) == 0x80).any()  # no text begins inside a character
+    except UnicodeDecodeError:
+        whole = False
+    if whole and len(raw) < 1 << 31:
+        return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+
+
 class TrieBPE:
     """Encodes and decodes with a byte-level vocabulary file of the tokenizers library."""
 
@@ -61,7 +107,6 @@ class TrieBPE:
         self.bytes = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.names = {i: str(i) for i in self.bytes}
         self.sizes = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, result
@@ -73,19 +118,23 @@ class TrieBPE:
             self.parts.setdefault(both, (left, right))
         self.rank = {i: self.merge[p][0] for i, p in self.parts.items()}
         self.reachable = {t: i for t, i in vocab.items() if len(t) == 1 or i in self.parts}
+        self.single = [vocab.get(bytes([b])) for b in range(256)]
         # the token of every suffix of a token, -1 where the suffix isn't one
         self.suffixes = {t[k:]: self.reachable.get(t[k:], -1) for t in vocab for k in range(len(t))}
-        self.longer = {(self.reachable[t[:-1]], t[-1]): i for t, i in self.reachable.items() if t[:-1] in self.reachable}
-        self.joined: dict[tuple[int, int], bool] = {}
+        # keys of two numbers are packed into one: shorter to hash and to hold than a pair
+        self.longer = {self.reachable[t[:-1]] << 8 | t[-1]: i for t, i in self.reachable.items() if t[:-1] in self.reachable}
+        self.joined: dict[int, bool] = {}
         self.form = "H" if len(self.sizes) <= 1 << 16 else "I"
         self.words: dict[str, bytes] = {}  # ids as packed numbers: a tuple of them takes several times the memory
+        self.spelled = _table([self.bytes.get(i, b"") for i in range(len(self.sizes))])
+        self.listed = _table([b",%d" % i if i in self.bytes else b"" for i in range(len(self.sizes))])
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes is just these two tokens: undo the later merge, step by step."""
-        key = left, right
+        key = left << 32 | right
         if (known := self.joined.get(key)) is not None:
             return known
-        if len(self.joined) > 2 * MEMORY:
+        if len(self.joined) >= PAIRS:
             self.joined.clear()
         limit, none, ok = 1 << 60, 1 << 60, True
         rank, parts, merge = self.rank, self.parts, self.merge
@@ -108,91 +157,103 @@ class TrieBPE:
         self.joined[key] = ok
         return ok
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Encodings of distinct words: sorting them lays the trie out depth first, a stack holds the path."""
-        out: dict[bytes, tuple[int, ...]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed encodings of distinct words: sorting them lays the trie out depth first, a stack holds the path."""
+        out: dict[str, bytes] = {}
         path = b""
         last: list[int] = []  # last token of each prefix on the path
         suffix_token, joined, longer = self.suffixes.get, self.joined.get, self.longer.get
         compatible = self.compatible
-        size = self.sizes
-        for word in sorted(words):
+        size, single, form = self.sizes, self.single, self.form
+        for text in sorted(words):  # code points are in the order of their bytes
+            word = text.encode()
             common = 0
             for x, y in zip(path, word):
                 if x != y:
                     break
                 common += 1
             del last[common:]
-            for end in range(common + 1, len(word) + 1):
-                # most often the last token grows by a byte; otherwise suffixes are tried from the shortest
-                if end > 1 and (found := longer((last[-1], word[end - 1]))) is not None:
-                    start = end - size[found]
-                    if start == 0 or (fits if (fits := joined(key := (last[start - 1], found))) is not None else compatible(*key)):
-                        last.append(found)
+            token = last[-1] if common else 0
+            for at in range(common, len(word)):
+                if not at:
+                    last.append(token := single[word[0]])
+                    continue
+                # most often the last token grows by a byte or a new one begins; otherwise suffixes are tried from the shortest
+                if (found := longer(token << 8 | word[at])) is not None:
+                    start = at + 1 - size[found]
+                    if start == 0 or (fits if (fits := joined((left := last[start - 1]) << 32 | found)) is not None else compatible(left, found)):
+                        last.append(token := found)
                         continue
-                start = end - 1
+                found = single[word[at]]
+                if fits if (fits := joined(token << 32 | found)) is not None else compatible(token, found):
+                    last.append(token := found)
+                    continue
+                start, end = at - 1, at + 1
                 while (found := suffix_token(word[start:end])) is not None:
-                    if found >= 0 and (start == 0 or (fits if (fits := joined(key := (last[start - 1], found))) is not None else compatible(*key))):
+                    if found >= 0 and (start == 0 or (fits if (fits := joined((left := last[start - 1]) << 32 | found)) is not None else compatible(left, found))):
                         break
                     start -= 1
-                last.append(found)
+                last.append(token := found)
             path = word
             tokens, at = [], len(word)
             while at:
                 token = last[at - 1]
                 tokens.append(token)
                 at -= size[token]
-            out[word] = tuple(reversed(tokens))
-        return [out[w] for w in words]
+            tokens.reverse()
+            out[text] = array(form, tokens).tobytes()
+        return out
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str], before: dict[str, bytes]) -> None:
         """Encode pieces that weren't met before."""
-        new = list(pieces)
-        cut = list(map(pretokens, new))
-        distinct = list(set(chain.from_iterable(cut)))
-        get = dict(zip(distinct, self.encode_words([w.encode() for w in distinct]))).__getitem__
-        form = self.form
-        self.words.update((piece, array(form, get(ws[0]) if len(ws) == 1 else chain.from_iterable(map(get, ws))).tobytes()) for piece, ws in zip(new, cut))
+        cut = list(map(pretokens, pieces))
+        words = self.words
+        known, new = {}, []
+        for word in set(chain.from_iterable(cut)):
+            if (got := words.get(word) or before.get(word)) is None:
+                new.append(word)
+            else:
+                known[word] = got
+        known |= self.encode_words(new)
+        get = known.__getitem__
+        words.update((piece, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for piece, ws in zip(pieces, cut))
 
     def plain(self, text: str) -> list[str]:
         return PIECE.findall(text)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        parts = []
+    def pack(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one run, and where each text's begin and end."""
+        numbers = _Numbers()  # of pieces, and of special tokens by their ids
+        number = numbers.__getitem__
+        rows, ends = array("I"), [0]
         for text in texts:
-            if self.split_special and (cuts := list(self.split_special.finditer(text))):
-                part, at = [], 0
-                for m in cuts:
-                    part += [self.plain(text[at : m.start()]), self.special[m.group()]]
-                    at = m.end()
-                part.append(self.plain(text[at:]))
-            else:
-                part = [self.plain(text)]
-            parts.append(part)
-        need: set[str] = set()
-        for part in parts:
-            for x in part:
-                if not isinstance(x, int):
-                    need.update(x)
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        self.learn(need.difference(self.words))
-        get = self.words.__getitem__
-        long = [piece for piece in need if len(piece) > KEPT]
-        out = []
-        for part in parts:
-            ids: list[int] = []
-            for x in part:
-                if isinstance(x, int):
-                    ids.append(x)
+            at = 0
+            for m in self.split_special.finditer(text) if self.split_special else ():
+                rows.extend(map(number, self.plain(text[at : m.start()])))
+                rows.append(number(self.special[m.group()]))
+                at = m.end()
+            rows.extend(map(number, self.plain(text[at:] if at else text)))
+            ends.append(len(rows))
+        before, new = self.words, []
+        if len(before) > MEMORY:  # what is met again stays, the rest goes
+            self.words = {}
+        words = self.words
+        for piece in numbers:
+            if piece not in words and isinstance(piece, str):
+                if (got := before.get(piece)) is None:
+                    new.append(piece)
                 else:
-                    got = array(self.form)
-                    got.frombytes(b"".join(map(get, x)))
-                    ids.extend(got)
-            out.append(ids)
-        for piece in long:
-            del self.words[piece]
-        return out
+                    words[piece] = got
+        self.learn(new, before)
+        entries = [words[p] if isinstance(p, str) else array(self.form, [p]).tobytes() for p in numbers]
+        for piece in numbers:
+            if isinstance(piece, str) and len(piece) > KEPT:
+                del words[piece]
+        return spread(np.frombuffer(rows, np.uint32), np.array(ends), _table(entries, self.form))
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        coded, bounds = self.pack(texts)
+        return [coded[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -207,6 +268,11 @@ def coder(path: str) -> TrieBPE:
     return _CODERS[path]
 
 
+def forget() -> None:
+    """Drop all coders (a function of the module: nested ones get a copy of its variables)."""
+    _CODERS.clear()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """Encode each whole text, then decode the ids.
 
@@ -222,29 +288,45 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     if digests:
         fields += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
 
+    def sha(part) -> str:
+        return hashlib.sha256(part).hexdigest()
+
     def run(batches):
         bpe = coder(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        held, texts, room = [], [], GROUP
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[list] = [[] for _ in fields[1:]]
-            at = 0
-            while at < len(texts):
-                end, room = at, 1 << 22
-                while end < len(texts) and room > 0:
-                    room -= len(texts[end])
-                    end += 1
-                for got in bpe.encode_batch(texts[at:end]):
-                    decoded = bpe.decode(got)
-                    row = [len(got)]
-                    if ids:
-                        row += [got, decoded]
-                    if digests:
-                        row += [sha(",".join(map(bpe.names.__getitem__, got))), sha(decoded)]
-                    for column, value in zip(rows, row):
-                        column.append(value)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f[2]) for c, f in zip(rows, fields[1:]))], [f[0] for f in fields])
+            held.append(batch.column(0))
+            for text in batch.column(1):
+                texts.append(text.as_py() or "")
+                room -= len(texts[-1])
+            if room <= 0:
+                yield from coded(bpe, pa.concat_arrays(held), texts)
+                held, texts, room = [], [], GROUP
+        if texts:
+            yield from coded(bpe, pa.concat_arrays(held), texts)
+        # tasks go to the idle workers in turn: each of them would keep a vocabulary and its words
+        del bpe
+        forget()
+
+    def coded(bpe, keys, texts):
+        found, ends = bpe.pack(texts)
+        texts.clear()
+        at = 0
+        while at < len(keys):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS, "right")) - 1)
+            part, bounds = found[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+            raw, places = spread(part, bounds, bpe.spelled)
+            decoded = _strings(raw, places)
+            columns = [keys.slice(at, to - at), pa.array(np.diff(bounds))]
+            if ids:
+                columns += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(part.astype(np.int32))), decoded]
+            if digests:
+                listed, marks = spread(part, bounds, bpe.listed)
+                view = memoryview(listed)
+                columns.append(pa.array([sha(view[a + 1 : b]) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist())], pa.string()))
+                columns.append(pa.array([sha(t.as_buffer()) for t in decoded], pa.string()))
+            yield pa.RecordBatch.from_arrays([c.cast(f[2]) for c, f in zip(columns, fields)], [f[0] for f in fields])
+            at = to
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(trimmed(run), ", ".join(f"{n} {t}" for n, t, _ in fields))
