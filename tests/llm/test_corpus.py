@@ -397,6 +397,28 @@ def test_word_vectors_match_brute_force(spark, monkeypatch):
     assert quality.word_vectors(df.limit(0)).count() == 0
 
 
+def test_rare_words_take_half_a_byte_a_place():
+    sums = np.random.default_rng(6).integers(-7, 8, (50, quality.DIM)).astype(np.int32)
+    sums[::5] *= 9
+    column = quality.shortened(sums)
+    want = np.rint(127 * sums / np.linalg.norm(sums, axis=1, keepdims=True))
+    assert (quality.lengthened(column) == want).all() and (quality.lengthened(column.slice(7, 20)) == want[7:27]).all()
+    assert {len(x.as_py()) for x in column} == {quality.DIM // 2, quality.DIM} and len(quality.lengthened(column[:0])) == 0
+
+
+def test_partial_sums_travel_in_few_bytes():
+    rng = np.random.default_rng(4)
+    token = np.unique(rng.integers(0, 1 << 64, 60_000, dtype=np.uint64))
+    rng.shuffle(token)
+    token[:9000:3] = token[0]  # one word of a large sum
+    word, n, sums = quality.merged([quality.neighbour_sums(token, np.array([0, len(token)]))])
+    rows = quality.packed(word, n, sums, 8)
+    assert rows.num_rows == 256 and rows.nbytes < 30 * len(word)
+    assert [(int(w[0]) >> 56, int(w[-1]) >> 56) for w, _, _ in map(quality.unpacked, rows.column(1).to_pylist())] == [(p, p) for p in rows.column(0).to_pylist()]
+    back = [np.concatenate(c) for c in zip(*map(quality.unpacked, rows.column(1).to_pylist()))]
+    assert all((a == b).all() for a, b in zip(back, (word, n, sums))) and (np.abs(sums).sum(1) > quality.UNITS).any()
+
+
 def test_words_beyond_the_broadcast_are_joined(spark, docs):
     words = quality.word_vectors(docs)
     one, few = quality.Head(words), quality.Head(words, 100)
@@ -405,6 +427,17 @@ def test_words_beyond_the_broadcast_are_joined(spark, docs):
     assert len(a) == docs.count() and a == b
 
 
+def test_joined_words_in_many_batches(spark, docs, monkeypatch):
+    """Joined by shuffles and by a broadcast of the pairs, from the short table too, the features are those of one head."""
+    words = quality.word_table(docs)
+    want = rows_of(quality.pooled(docs, quality.Head(quality.word_vectors(docs)), "doc_id long"), "doc_id", "x")
+    few = quality.Head(words, 100)
+    assert rows_of(quality.pooled(docs, few, "doc_id long"), "doc_id", "x") == want
+    monkeypatch.setattr(quality, "HEAD", 0)
+    assert rows_of(quality.pooled(docs, few, "doc_id long"), "doc_id", "x") == want
+    assert rows_of(quality.pooled(docs.limit(0), few, "doc_id long"), "doc_id", "x") == []
+
+
 def test_long_texts_are_taken_in_pieces():
     rng = random.Random(32)
     text = " ".join(rng.choice(("ab", "c1", "d-e", "f" * 300)) for _ in range(2000)).encode()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, durable, prepare, trimmed
+from .common import durable, prepare, trimmed
 from .textkernel import CHUNK, U64, buffers, chunks, hash_ranges, reduceat, runs
 
 DIM = 48
@@ -26,8 +26,8 @@ ENTRIES, WINDOW, COUNT = 2, 2, 3
 SAMPLE = 8000
 #: Most frequent words that are broadcast (56 bytes each); what is beyond them is joined.
 HEAD = 1 << 19
-#: Words that a task gathers before it hands them on; rows to an Arrow batch of words.
-HELD, WORD_ROWS = 1 << 18, 1 << 14
+#: Words that a task gathers before it hands them on, and units up to which a sum travels as a list of them.
+HELD, UNITS = 1 << 18, 64
 
 #: Byte classes: white space 0, letters 1 (non-ASCII bytes too), digits 2, other signs 3.
 _CLASS = np.full(256, 3, np.uint8)
@@ -98,43 +98,78 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return word[first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
-def packed(word: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    """Words, counts and sums as rows; few small sums travel as (place, value) bytes."""
-    filled = (sums != 0).sum(1)
-    short = (filled <= 32) & (np.abs(sums).max(1, initial=0) < 128)
+def packed(word: np.ndarray, n: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted words, counts and sums, one row for each range of words that share their first ``bits`` bits.
+
+    A row for each word would cost more than its content.  A small sum is a list of units, a byte each: its place and sign.
+    """
+    weight = np.abs(sums).sum(1)
+    short = weight <= UNITS
     row, place = np.nonzero(sums[short])
-    pairs = np.stack([place.astype(np.uint8), sums[short][row, place].astype(np.int8).view(np.uint8)], axis=1).tobytes()
-    size = np.where(short, 2 * filled, 4 * DIM)
-    ends = np.cumsum(size)
-    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    inside = np.repeat(short, size)
-    data[inside] = np.frombuffer(pairs, np.uint8)
-    data[~inside] = sums[~short].astype("<i4").view(np.uint8).ravel()
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    column = pa.BinaryArray.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), column], ["word", "n", "sums"])
-
-
-def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw, offsets = buffers(batch.column(2))
+    value = sums[short][row, place]
+    units = np.repeat((place + 64 * (value < 0)).astype(np.uint8), np.abs(value))
+    sizes, dense = np.where(short, weight, 255).astype(np.uint8), sums[~short].astype("<i4")
+    part = (word >> U64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(first, len(word))
+    unit_ends, dense_ends = (np.concatenate([[0], np.cumsum(c)])[ends] for c in (np.where(short, weight, 0), ~short))
+    blobs = []
+    for k in range(len(first)):
+        rows = slice(ends[k], ends[k + 1])
+        parts = word[rows], n[rows].astype("<i8"), sizes[rows], units[unit_ends[k] : unit_ends[k + 1]], dense[dense_ends[k] : dense_ends[k + 1]]
+        blobs.append(b"".join([int(ends[k + 1] - ends[k]).to_bytes(8, "little"), *(c.tobytes() for c in parts)]))
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "words"])
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts and sums of one row."""
+    k = int.from_bytes(blob[:8], "little")
+    word, n = np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, "<i8", k, 8 + 8 * k)
+    sizes = np.frombuffer(blob, np.uint8, k, 8 + 16 * k)
+    short = sizes != 255
+    total = int(sizes[short].sum(dtype=np.int64))
+    units = np.frombuffer(blob, np.uint8, total, 8 + 17 * k)
+    at = np.repeat(np.flatnonzero(short) * DIM, sizes[short]) + (units & 63)
+    sums = np.bincount(at, 1.0 - 2.0 * (units >> 6), minlength=k * DIM).astype(np.int32).reshape(k, DIM)
+    sums[~short] = np.frombuffer(blob, "<i4", -1, 8 + 17 * k + total).reshape(-1, DIM)
+    return word, n, sums
+
+
+def shortened(sums: np.ndarray) -> pa.Array:
+    """Sums as bytes: those of rare words, none beyond 7, in half a byte each; others as vectors of unit length in a byte each."""
+    small = np.abs(sums).max(1, initial=0) <= 7
+    half = (sums + 8).astype(np.uint8)
+    half = half[:, ::2] << 4 | half[:, 1::2]
+    return pa.array([(a if s else b).tobytes() for s, a, b in zip(small.tolist(), half, _unit(sums))], pa.binary())
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    x = sums.astype(np.float64)
+    return np.rint(127 * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.int8)
+
+
+def lengthened(column: pa.Array) -> np.ndarray:
+    """The vectors of unit length, in a byte each, of what ``shortened`` gave."""
+    raw, offsets = buffers(column)
     size = np.diff(offsets)
-    sums = np.zeros((batch.num_rows, DIM), np.int32)
-    dense = size == 4 * DIM
-    inside = np.repeat(dense, size)
-    if dense.any():
-        sums[dense] = np.frombuffer(raw[inside].tobytes(), "<i4").reshape(-1, DIM)
-    pairs = raw[~inside].reshape(-1, 2)
-    sums[np.repeat(np.flatnonzero(~dense), size[~dense] // 2), pairs[:, 0]] = pairs[:, 1].view(np.int8)
-    return batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), sums
+    small = size < DIM
+    inside = np.repeat(small, size)
+    half = raw[inside].reshape(-1, DIM // 2)
+    out = np.empty((len(size), DIM), np.int8)
+    out[small] = _unit(np.stack([half >> 4, half & 15], axis=2).reshape(-1, DIM).astype(np.int32) - 8)
+    out[~small] = raw[~inside].view(np.int8).reshape(-1, DIM)
+    return out
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n, v): each word of at least COUNT occurrences with its vector of unit length in bytes, stored.
+def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n, v): each word of at least COUNT occurrences with its ``shortened`` vector, stored.
 
     A task adds up what it meets of each word and hands it on; the parts are added by word.
     """
     spark = docs.sparkSession
     prepare(spark)
+    # several ranges of words to a task, so that one at a time is small
+    bits = min(30, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
 
     def gather(batches):
         parts, held = [], 0
@@ -146,34 +181,43 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     parts = [merged(parts)]
                     held = len(parts[0][0])
                     if held > HELD // 2:
-                        yield packed(*parts[0])
+                        yield packed(*parts[0], bits)
                         parts, held = [], 0
         if parts:
-            yield packed(*merged(parts))
+            yield packed(*merged(parts), bits)
 
     def add(batches):
-        last = None
+        last, parts, held = None, [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, n, sums = merged([last, unpacked(batch)] if last is not None else [unpacked(batch)])
-            last = word[-1:], n[-1:], sums[-1:]
-            yield vectors(word[:-1], n[:-1], sums[:-1])
-        if last is not None:
-            yield vectors(*last)
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if parts and part != last:
+                    yield vectors(*merged(parts))
+                    parts, held = [], 0
+                last = part
+                parts.append(unpacked(blob.as_py()))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0]) // 2
+        if parts:
+            yield vectors(*merged(parts))
 
     def vectors(word, n, sums):
         often = n >= COUNT
-        word, n, x = word[often], n[often], sums[often].astype(np.float64)
-        v = np.rint(127 * x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array([r.tobytes() for r in v], pa.binary())], ["word", "n", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often]), shortened(sums[often])], ["word", "n", "v"])
 
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(gather), "word long, n long, sums binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # batches stay bounded in bytes
-    try:
-        return durable(parts.repartition("word").sortWithinPartitions("word").mapInArrow(trimmed(add), "word long, n long, v binary"))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(gather), "part int, words binary")
+    return durable(parts.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(add), "word long, n long, v binary"))
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n, v): the table of words with vectors of unit length, in a byte each."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.set_column(2, "v", _bytes(lengthened(batch.column(2))))
+
+    return word_table(docs, text_col).mapInArrow(trimmed(run), "word long, n long, v binary")
 
 
 class Head:
@@ -194,7 +238,7 @@ class Head:
             words, self.tail = words.where(head), words.where(~head).select("word", "v")
         rows = words.select("word", "v").toArrow()
         word = rows.column("word").to_numpy().view(U64)
-        vectors = np.frombuffer(buffers(rows.column("v"))[0].tobytes(), np.int8).reshape(-1, DIM)
+        vectors = np.concatenate([np.zeros((0, DIM), np.int8), *map(lengthened, rows.column("v").chunks)])
         order = np.argsort(word)
         self.word, self.vectors = word[order], vectors[order]
 
@@ -228,13 +272,34 @@ class Head:
 
 
 def _finished(sums: np.ndarray, plain: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Per text: the mean word vector, its length, the mean index vector's length, the log of the token count and the share of tokens with a vector."""
+    """Per text: the mean word vector, its length, the mean index vector's length (``plain``), the log of the token count and the share of tokens with a vector."""
     n = np.maximum(count, 1)[:, None]
     mean = sums / n / 127
-    rest = [np.linalg.norm(mean, axis=1), np.linalg.norm(plain / n, axis=1), np.log1p(count) / 10, known / n[:, 0]]
+    rest = [np.linalg.norm(mean, axis=1), plain, np.log1p(count) / 10, known / n[:, 0]]
     return np.concatenate([mean, np.stack(rest, axis=1)], axis=1).astype(np.float32)
 
 
+def _length(plain: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Lengths of the mean index vectors."""
+    return np.linalg.norm(plain / np.maximum(count, 1)[:, None], axis=1)
+
+
+def _whole(rows: np.ndarray) -> pa.Array:
+    """Rows of whole numbers, each in as few bytes as its largest one needs."""
+    most = np.abs(rows).max(1, initial=0)
+    kinds = np.where(most < 1 << 15, "<i2", np.where(most < 1 << 31, "<i4", "<i8"))
+    return pa.array([r.astype(k).tobytes() for r, k in zip(rows, kinds.tolist())], pa.binary())
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The rows of ``_whole``; null is a row of zeros."""
+    out = np.zeros((len(column), DIM), np.int64)
+    for row, value in zip(out, column.to_pylist()):
+        if value is not None:
+            row[:] = np.frombuffer(value, f"<i{len(value) // DIM}")
+    return out
+
+
 def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -250,7 +315,7 @@ def pooled(docs: DataFrame, head: Head, keep: str, text_col: str = "text") -> Da
     def run(batches):
         for batch in batches:
             sums, plain, count, known, _ = shipped.value.pool(batch.column(len(names)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(_finished(sums, plain, count, known))], [*names, "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(_finished(sums, _length(plain, count), count, known))], [*names, "x"])
 
     if head.tail is None:
         return chosen.mapInArrow(trimmed(run), f"{keep}, x binary")
@@ -264,40 +329,41 @@ def pooled(docs: DataFrame, head: Head, keep: str, text_col: str = "text") -> Da
             first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])) if len(word) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(word)))
             lists = pa.ListArray.from_arrays(np.searchsorted(owner[first], np.arange(len(count) + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(times)], ["word", "c"]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _bytes(np.concatenate([sums, plain], axis=1)), pa.array(count), pa.array(known), lists], [*names, "s", "count", "known", "missed"])
-
-    def weigh(batches):
-        for batch in batches:
-            v = np.frombuffer(buffers(batch.column(2))[0].tobytes(), np.int8).reshape(-1, DIM).astype(np.int64)
-            c = batch.column(1).to_numpy()
-            row, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            sums = np.zeros((len(row), DIM), np.int64)
-            np.add.at(sums, at, v * c[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(row), _bytes(sums), pa.array(np.bincount(at, c, minlength=len(row)).astype(np.int64))], ["_weft_row", "t", "c"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, c = np.zeros(DIM, np.int64), 0
-        for batch in batches:
-            sums += np.frombuffer(buffers(batch.column("t"))[0].tobytes(), np.int64).reshape(-1, DIM).sum(0)
-            c += int(batch.column("c").to_numpy().sum())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([c], pa.int64())], ["_weft_row", "t", "c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _whole(sums), pa.array(_length(plain, count)), pa.array(count), pa.array(known), lists], [*names, "s", "plain", "count", "known", "missed"])
 
     def close(batches):
+        # a text's joined words come before the text itself; what a batch leaves open is carried on
+        last, held, more = None, np.zeros(DIM, np.int64), 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             get = dict(zip(batch.schema.names, batch.columns))
-            both = np.frombuffer(buffers(get["s"])[0].tobytes(), np.float64).reshape(-1, 2 * DIM)
-            more = np.zeros((batch.num_rows, DIM))
-            some = np.flatnonzero(get["t"].is_valid().to_numpy(zero_copy_only=False))
-            more[some] = np.frombuffer(buffers(get["t"])[0].tobytes(), np.int64).reshape(-1, DIM)
-            known = get["known"].to_numpy() + get["c"].fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(get[c] for c in names), _bytes(_finished(both[:, :DIM] + more, both[:, DIM:], get["count"].to_numpy(), known))], [*names, "x"])
+            row, c = get["_weft_row"].to_numpy(), get["c"].fill_null(0).to_numpy()
+            word = get["c"].is_valid().to_numpy(zero_copy_only=False)
+            v = np.zeros((len(row), DIM), np.int64)
+            v[word] = lengthened(get["v"].filter(pa.array(word))) * c[word, None]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            sums, times = np.add.reduceat(v, first, axis=0), np.add.reduceat(c, first)
+            if row[0] == last:
+                sums[0] += held
+                times[0] += more
+            last, held, more = (row[-1], sums[-1], times[-1]) if word[-1] else (None, held, 0)
+            texts = np.flatnonzero(~word)
+            own, at = batch.take(pa.array(texts)), np.searchsorted(first, texts, "right") - 1
+            get = dict(zip(own.schema.names, own.columns))
+            x = _finished(sums[at] + _numbers(get["s"]), get["plain"].to_numpy(), get["count"].to_numpy(), times[at] + get["known"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*(get[c] for c in names), _bytes(x)], [*names, "x"])
 
     # the vocabulary is beyond what is broadcast: the rarer words of a document are joined, once per document
-    base = durable(chosen.mapInArrow(trimmed(open_), f"{keep}, s binary, count long, known long, missed array<struct<word: long, c: long>>").withColumn("_weft_row", F.monotonically_increasing_id()))
+    base = durable(chosen.mapInArrow(trimmed(open_), f"{keep}, s binary, plain double, count long, known long, missed array<struct<word: long, c: long>>").withColumn("_weft_row", F.monotonically_increasing_id()))
     pairs = base.select("_weft_row", F.explode("missed").alias("m")).select("_weft_row", F.col("m.c").alias("c"), F.col("m.word").alias("word"))
-    weighed = pairs.join(head.tail, "word").select("_weft_row", "c", "v").mapInArrow(trimmed(weigh), "_weft_row long, t binary, c long")
-    extra = weighed.groupBy("_weft_row").applyInArrow(add, "_weft_row long, t binary, c long")
-    return base.drop("missed").join(extra, "_weft_row", "left").mapInArrow(trimmed(close), f"{keep}, x binary")
+    if pairs.count() <= HEAD:  # as many as words are broadcast: the rest of the table stays where it is
+        pairs = F.broadcast(pairs)
+    words = pairs.join(head.tail, "word").select("_weft_row", "c", "v")
+    texts = base.withColumns({"c": F.lit(None).cast("long"), "v": F.lit(None).cast("binary")})
+    some = F.size("missed") > 0  # texts whose words were all found need not move
+    moved = texts.where(some).drop("missed").unionByName(words, allowMissingColumns=True).repartition("_weft_row").sortWithinPartitions("_weft_row", F.col("c").isNull())
+    return moved.unionByName(texts.where(~some).drop("missed")).mapInArrow(trimmed(close), f"{keep}, x binary")
 
 
 class Network:
@@ -358,7 +424,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: F.Column, most: int = SAMPL
     drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share).select(F.col("doc_id").alias("_id"), "quality")
     # about ``most`` ids, whatever the tables hold; rows that share one are bounded once they are features
     texts = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    words = Head(word_vectors(docs), head)
+    words = Head(word_table(docs), head)
     found = pooled(texts, words, "doc_id long, quality int").withColumn("_draw", F.xxhash64("doc_id", "x")).orderBy("_draw", "doc_id", "x").limit(most)
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), DIM + 4)
