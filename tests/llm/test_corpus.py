@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -419,6 +420,23 @@ def test_partial_sums_travel_in_few_bytes():
     assert all((a == b).all() for a, b in zip(back, (word, n, sums))) and (np.abs(sums).sum(1) > quality.UNITS).any()
 
 
+def test_gathered_words_take_little_memory():
+    """Sums of a task's words are held in a few bytes each; those that came in blocks and ranges equal those of all tokens at once."""
+    rng = np.random.default_rng(12)
+    word = np.where(rng.random(900_000) < 0.5, rng.integers(0, 400, 900_000), rng.integers(0, 1 << 40, 900_000)).tolist()
+    texts = [" ".join(map("w{}".format, word[k : k + 9000])) for k in range(0, len(word), 9000)]
+    texts += ["", " ".join(map("v{}".format, range(70_000)))]  # more than a block
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10], pa.large_string())], ["text"]) for k in range(0, len(texts), 10)]
+    tracemalloc.start()
+    rows = [row for batch in quality.gathered(iter(batches), 6) for row in zip(*map(pa.Array.to_pylist, batch.columns))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 << 20
+    got = quality.merged([quality.unpacked(blob) for _, blob in rows])
+    want = quality.merged([quality.neighbour_sums(*quality.tokens(*textkernel.buffers(batch.column(0)))) for batch in batches])
+    assert len(got[0]) > quality.HELD and all((a == b).all() for a, b in zip(got, want))
+
+
 def test_words_beyond_the_broadcast_are_joined(spark, docs):
     words = quality.word_vectors(docs)
     one, few = quality.Head(words), quality.Head(words, 100)

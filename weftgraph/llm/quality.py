@@ -28,6 +28,8 @@ SAMPLE = 8000
 HEAD = 1 << 19
 #: Words that a task gathers before it hands them on, and units up to which a sum travels as a list of them.
 HELD, UNITS = 1 << 18, 64
+#: Occurrences up to which the sums of a word fit a byte each, and tokens whose neighbours are added up at once.
+FEW, BLOCK = 127 // (2 * WINDOW * ENTRIES), 1 << 16
 
 #: Byte classes: white space 0, letters 1 (non-ASCII bytes too), digits 2, other signs 3.
 _CLASS = np.full(256, 3, np.uint8)
@@ -73,17 +75,23 @@ def spots(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ((bits & U64(0xFFFF)) % U64(DIM)).astype(np.int64), np.where((bits >> U64(16)) & U64(1), 1.0, -1.0)
 
 
-def neighbour_sums(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, counts, sums): for each distinct token the sum of its neighbours' index vectors."""
-    word, at, n = np.unique(token, return_inverse=True, return_counts=True)
-    sums = np.zeros(len(word) * DIM)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    entries = list(spots(token))
+def neighbour_sums(token: np.ndarray, bounds: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, counts, sums): for each distinct token the sum of its neighbours' index vectors; of the tokens from ``first`` to ``last``, whose neighbours may lie outside."""
+    last = len(token) if last is None else last
+    low, high = max(first - WINDOW, 0), min(last + WINDOW, len(token))
+    word, at, n = np.unique(token[first:last], return_inverse=True, return_counts=True)
+    owner = np.searchsorted(bounds, np.arange(low, high), "right")
+    entries = list(spots(token[low:high]))
+    places, signs = [], []
     for gap in range(1, WINDOW + 1):
-        same = np.flatnonzero(owner[gap:] == owner[:-gap])
+        same = np.flatnonzero(owner[gap:] == owner[:-gap]) + low
         for a, b in ((same, same + gap), (same + gap, same)):
+            inside = (a >= first) & (a < last)
+            row, near = at[a[inside] - first] * DIM, b[inside] - low
             for spot, sign in entries:
-                sums += np.bincount(at[a] * DIM + spot[b], sign[b], minlength=len(sums))
+                places.append(row + spot[near])
+                signs.append(sign[near])
+    sums = np.bincount(np.concatenate(places), np.concatenate(signs), minlength=len(word) * DIM)
     return word, n, np.rint(sums).astype(np.int32).reshape(-1, DIM)
 
 
@@ -98,6 +106,66 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return word[first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
 
 
+def narrowed(word: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words, counts, and sums of words of at most FEW occurrences in a byte each, apart from the others."""
+    few = n <= FEW
+    return word.copy(), n.copy(), sums[few].astype(np.int8), sums[~few]
+
+
+def widened(word: np.ndarray, n: np.ndarray, small: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``narrowed`` was given."""
+    sums, few = np.empty((len(n), DIM), np.int32), n <= FEW
+    sums[few], sums[~few] = small, large
+    return word, n, sums
+
+
+class Gathered:
+    """Counts and sums of the words that a task meets, in ranges of words that are added up and packed one at a time."""
+
+    def __init__(self, bits: int):
+        self.bits, top = bits, min(bits, 4)
+        self.edges = np.arange(1, 1 << top, dtype=U64) << U64(64 - top)
+        self.ranges: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(1 << top)]
+        self.fresh = self.held = 0
+
+    def add(self, word: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        """Take more words, sorted."""
+        ends = [0, *np.searchsorted(word, self.edges), len(word)]
+        for k, parts in enumerate(self.ranges):
+            if ends[k] < ends[k + 1]:
+                rows = slice(ends[k], ends[k + 1])
+                parts.append(narrowed(word[rows], n[rows], sums[rows]))
+        self.fresh += len(word)
+        if self.fresh > HELD // 2:
+            self.fresh = self.held = 0
+            for parts in self.ranges:
+                if parts:
+                    parts[:] = [narrowed(*merged([widened(*p) for p in parts]))]
+                    self.held += len(parts[0][0])
+
+    def handed(self) -> Iterator[pa.RecordBatch]:
+        """All words so far, ``packed``; none stay."""
+        for parts in self.ranges:
+            if parts:
+                rows = packed(*merged([widened(*p) for p in parts]), self.bits)
+                parts.clear()
+                yield rows
+        self.fresh = self.held = 0
+
+
+def gathered(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The words of batches of texts with their counts and sums, ``packed``; HELD of them are added up before they are handed on."""
+    kept = Gathered(bits)
+    for batch in batches:
+        for _, raw, offsets in pieces(*buffers(batch.column(0))):
+            token, bounds = tokens(raw, offsets)
+            for first in range(0, len(token), BLOCK):
+                kept.add(*neighbour_sums(token, bounds, first, min(first + BLOCK, len(token))))
+                if kept.held > HELD:
+                    yield from kept.handed()
+    yield from kept.handed()
+
+
 def packed(word: np.ndarray, n: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted words, counts and sums, one row for each range of words that share their first ``bits`` bits.
 
@@ -171,21 +239,6 @@ def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # several ranges of words to a task, so that one at a time is small
     bits = min(30, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
 
-    def gather(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for _, raw, offsets in pieces(*buffers(batch.column(0))):
-                parts.append(neighbour_sums(*tokens(raw, offsets)))
-                held += len(parts[-1][0])
-                if held > HELD:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield packed(*parts[0], bits)
-                        parts, held = [], 0
-        if parts:
-            yield packed(*merged(parts), bits)
-
     def add(batches):
         last, parts, held = None, [], 0
         for batch in batches:
@@ -206,7 +259,7 @@ def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
         often = n >= COUNT
         return pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often]), shortened(sums[often])], ["word", "n", "v"])
 
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(gather), "part int, words binary")
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(trimmed(lambda batches: gathered(batches, bits)), "part int, words binary")
     return durable(parts.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(add), "word long, n long, v binary"))
 
 
