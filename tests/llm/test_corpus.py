@@ -445,6 +445,19 @@ def test_words_beyond_the_broadcast_are_joined(spark, docs):
     assert len(a) == docs.count() and a == b
 
 
+def test_words_that_no_table_has_are_not_joined(spark, docs):
+    """Most words of a corpus are too rare for a vector; texts leave them out before the join, and no word of the table."""
+    head = quality.Head(quality.word_table(docs), 100)
+    tail = {r["word"] % (1 << 64) for r in head.tail.collect()}
+    texts = pa.array([r["text"] for r in docs.select("text").collect()], pa.large_string())
+    token = quality.tokens(*textkernel.buffers(texts))[0]
+    missed = np.concatenate([word for _, word in head.pool(texts)[4]])
+    found = np.isin(missed, np.array(list(tail), np.uint64))
+    assert tail and found.sum() == np.isin(token, np.array(list(tail), np.uint64)).sum()
+    rare = (~np.isin(token, np.concatenate([head.word, np.array(list(tail), np.uint64)]))).sum()
+    assert rare > 100 and (~found).sum() < rare / 8
+
+
 def test_joined_words_in_many_batches(spark, docs, monkeypatch):
     """Joined by shuffles and by a broadcast of the pairs, from the short table too, the features are those of one head."""
     words = quality.word_table(docs)

@@ -26,6 +26,8 @@ ENTRIES, WINDOW, COUNT = 2, 2, 3
 SAMPLE = 8000
 #: Most frequent words that are broadcast (56 bytes each); what is beyond them is joined.
 HEAD = 1 << 19
+#: Bits of a word by which texts rule out what the joined table hasn't, at most: 2 ** MARKS marks are broadcast.
+MARKS = 27
 #: Words that a task gathers before it hands them on, and units up to which a sum travels as a list of them.
 HELD, UNITS = 1 << 18, 64
 #: Occurrences up to which the sums of a word fit a byte each, and tokens whose neighbours are added up at once.
@@ -273,12 +275,38 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return word_table(docs, text_col).mapInArrow(trimmed(run), "word long, n long, v binary")
 
 
+def marked(words: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A mark for each value that the first bits of about ``n`` words may have, set if the table has such a word, in packed bits; and the count of those bits.
+
+    A table that ``word_table`` stored lies in ranges of words, so that the driver gets each block of marks about once.
+    """
+    bits = min(MARKS, max(16, (32 * n).bit_length()))
+    size = 1 << (bits - 15)  # bytes of a block
+
+    def run(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
+            owner = at >> (bits - 12)
+            for k in np.unique(owner).tolist():
+                own = at[owner == k] & (8 * size - 1)
+                np.bitwise_or.at(blocks.setdefault(k, np.zeros(size, np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), _bytes(blocks.values())], ["k", "marks"])
+
+    marks = np.zeros(1 << (bits - 3), np.uint8)
+    for r in words.select("word").mapInArrow(trimmed(run), "k int, marks binary").collect():
+        marks[r["k"] * size : (r["k"] + 1) * size] |= np.frombuffer(bytes(r["marks"]), np.uint8)
+    return marks, bits
+
+
 class Head:
-    """The most frequent words of a table, at most ``most``, as arrays; ``tail`` is the table of the others, None if there is none."""
+    """The most frequent words of a table, at most ``most``, as arrays; ``tail`` is the table of the others, None if there is none, with its marks."""
 
     def __init__(self, words: DataFrame, most: int = HEAD):
-        self.tail = None
-        if words.count() > most:
+        self.tail = self.marks = self.bits = None
+        n = words.count()
+        if n > most:
             # frequencies in eighths of an octave: a few hundred numbers tell from where on the words are few enough
             step = F.floor(8 * F.log2(F.col("n").cast("double")))
             found, total = None, 0
@@ -289,6 +317,7 @@ class Head:
                 found = r["s"]
             head = F.lit(False) if found is None else step >= found
             words, self.tail = words.where(head), words.where(~head).select("word", "v")
+            self.marks, self.bits = marked(self.tail, n)
         rows = words.select("word", "v").toArrow()
         word = rows.column("word").to_numpy().view(U64)
         vectors = np.concatenate([np.zeros((0, DIM), np.int8), *map(lengthened, rows.column("v").chunks)])
@@ -296,10 +325,10 @@ class Head:
         self.word, self.vectors = word[order], vectors[order]
 
     def __getstate__(self):
-        return {"word": self.word, "vectors": self.vectors}
+        return {"word": self.word, "vectors": self.vectors, "marks": self.marks, "bits": self.bits}
 
     def pool(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """Per text: sums of word vectors and of index vectors, counts of tokens and of those with a vector; and (text, word, count) of the words not found."""
+        """Per text: sums of word vectors and of index vectors, counts of tokens and of those with a vector; and (text, word) of the words not found that the table of the others may have."""
         raw, offsets = buffers(column)
         n = len(offsets) - 1
         sums, plain, count, known = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -320,6 +349,9 @@ class Head:
             known[rows] += np.diff(inside)
             lost = np.ones(len(token), bool)
             lost[hit] = False
+            if self.marks is not None:
+                at = token >> U64(64 - self.bits)
+                lost &= (self.marks[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
             missed.append((owner[lost] + first, token[lost]))
         return sums, plain, count, known, missed
 
