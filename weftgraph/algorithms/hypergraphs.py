@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import hash64_mod
+from weftgraph.kernels import searches
 from weftgraph.model import Graph, Hypergraph
+from weftgraph.operators import onetask
 from weftgraph.storage import discard, durable, rows_of
 
 from .components import components, propagate
@@ -83,6 +85,11 @@ def hyper_bpath(hg: Hypergraph, root: int = 0) -> DataFrame:
 
 def hyper_dependency(hg: Hypergraph, root: int = 0) -> DataFrame:
     """(kind, id, sigma, score): path counts, and on vertices 1 + the dependency of the root (without the 1 at the root itself); null where unreached."""
+    graph, base = bipartite(hg)
+    rows = onetask.stored(graph)
+    if rows is not None:
+        found = onetask.run(rows, graph.symmetric, "id long, sigma double, score double", lambda net: searches.hyper_dependency(net, root))
+        return _sides(graph.vertices.join(found.hint("merge"), "id", "left").select("id", "sigma", "score"), base)
     h = hg.pinned()
     frontier = durable(h.spark.createDataFrame([(root, 1.0, 0)], "id long, sigma double, level int"))
     sides: dict[str, list[DataFrame]] = {"v": [frontier], "h": []}
@@ -90,9 +97,9 @@ def hyper_dependency(hg: Hypergraph, root: int = 0) -> DataFrame:
     while True:
         level += 1
         kind, edges, at, to = ("h", h.v2h, "v", "h") if level % 2 else ("v", h.h2v, "h", "v")
-        hop = edges.join(frontier.select(F.col("id").alias(at), "sigma"), at).groupBy(F.col(to).alias("id")).agg(F.sum("sigma").alias("sigma"))
+        hop = edges.join(frontier.select(F.col("id").alias(at), "sigma").hint("merge"), at).groupBy(F.col(to).alias("id")).agg(F.sum("sigma").alias("sigma"))
         if sides[kind]:
-            hop = hop.join(_union(sides[kind]).select("id"), "id", "left_anti")
+            hop = hop.join(_union(sides[kind]).select("id").hint("merge"), "id", "left_anti")  # it grows with the graph: never to the driver
         frontier, n = rows_of(hop.withColumn("level", F.lit(level)))
         if not n:
             break
