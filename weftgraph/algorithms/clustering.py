@@ -123,7 +123,7 @@ def heat_walks(graph: Graph, root: int = 0, walks: int = 10, longest: int = 10,
     state = durable(start.select("walk", "at", length.alias("length")))
     for step in range(longest):
         pick = F.pmod(next64(F.col("walk") * F.lit(1_000_033) + F.lit(step * 7919 + seed)), F.size("to").cast("long"))
-        moved = state.join(lists, F.col("at") == F.col("src"), "left").select("walk", F.when((F.col("length") > step) & F.col("to").isNotNull(), F.col("to")[pick.cast("int")]).otherwise(F.col("at")).alias("at"), "length")
+        moved = state.join(lists.hint("merge"), F.col("at") == F.col("src"), "left").select("walk", F.when((F.col("length") > step) & F.col("to").isNotNull(), F.col("to")[pick.cast("int")]).otherwise(F.col("at")).alias("at"), "length")
         following = durable(moved)
         discard(state)
         state = following
