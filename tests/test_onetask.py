@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import generators as gen
-from weftgraph.algorithms import eccentricity, hypergraphs, traversal
+from weftgraph.algorithms import components, eccentricity, hypergraphs, traversal
 from weftgraph.model import Graph, Hypergraph
 from weftgraph.operators import onetask
 
@@ -28,6 +28,7 @@ RUNS = {
     "bfs": lambda g: traversal.bfs(g, 300),
     "bfs from an isolated vertex": lambda g: traversal.bfs(g, 344),
     "paths": lambda g: traversal.shortest_paths(g, 300),
+    "labels": lambda g: components.propagate(g, shortcut=True),
     "delta": lambda g: traversal.delta_stepping(g, 300, 4),
     "dependency": lambda g: traversal.dependency(g, 300).withColumn("score", F.round("score", 6)),
     "radii": lambda g: traversal.radii(g),
